@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import WHITE, plain_id, plain_id_sql, term, term_sql
-from loomgraph.llm import cooccurrence, duplicates, frequency, packing, tokens, topn
+from loomgraph.llm import cooccurrence, duplicates, frequency, packing, spam, tokens, topn
 from loomgraph.session import table
 
 RARE_RECORDS, COMMON_SHARE = 3, 0.1
@@ -138,6 +138,17 @@ def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.count_tokens(table(spark, sf_dir, "documents")), CONTAINER_TOKENS)
 
 
+# --- problem 10 ------------------------------------------------------------------------------------------------------
+
+
+def p10_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.label_words(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.flagged(p10_labels(spark, sf_dir))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_frequencies": p1_frequencies,
@@ -148,6 +159,8 @@ QUERIES = {
     "p7_records": p7_records,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_labels": p10_labels,
 }
 SQL = {
     "p1_found": P1_FOUND,

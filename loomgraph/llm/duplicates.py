@@ -1,7 +1,8 @@
 """Duplicates hidden by formatting: columns are dictionary-encoded on their canonical values, and compact tuples grouped.
 
 Every distinct value of a column is canonicalised once and gets an integer shared by all its spellings. Records become
-sorted tuples of field-value integers; equal tuples are copies.
+tuples of field-value integers in the order of their fields, small fields packed bit by bit into common integers; equal
+tuples are copies.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from loomgraph.session import BROADCAST_BYTES, numbered, stage
 
 #: A spelling in more than one row of so many is looked up by broadcast (fewer than that many spellings a column).
 HOT = 1000
-#: Field-value integers: the field's number above so many bits of the value's.
-VALUE_BITS = 40
+#: Small fields share an integer up to so many bits.
+PACKED_BITS = 62
 
 
 def _dictionary(rows: DataFrame, columns: dict[str, str], canon: dict[str, Callable[[Column], Column]]) -> DataFrame:
@@ -28,7 +29,8 @@ def _dictionary(rows: DataFrame, columns: dict[str, str], canon: dict[str, Calla
     for kind, rule in canon.items():
         value = F.when(F.col("kind") == kind, rule(F.col("raw"))).otherwise(value)
     spellings = stage(spellings.withColumn("value", value).filter("value is not null"), "spellings")
-    names = numbered(spellings.select("kind", "value").distinct(), "id", "values")
+    # in the order of their kind, so a kind's integers are consecutive
+    names = numbered(spellings.select("kind", "value").distinct().sort("kind", "value"), "id", "values")
     return stage(spellings.join(names, ["kind", "value"]).select("kind", "raw", "id", "n"), "dictionary")
 
 
@@ -47,23 +49,49 @@ def _encode(rows: DataFrame, column: str, entries: DataFrame, n_rows: int, small
     return rows.withColumn(column, F.coalesce("_hot_id", "_id")).drop("_raw", "_id", "_hot", "_hot_id")
 
 
-def encode_records(rows: DataFrame, row_id: str, columns: dict[str, str], canon: dict[str, Callable[[Column], Column]]) -> DataFrame:
-    """(row_id, record): each row as a sorted array of field-value integers; null values are left out of it.
+def encode_records(rows: DataFrame, row_id: str, columns: dict[str, str], canon: dict[str, Callable[[Column], Column]], required: list[str]) -> tuple[DataFrame, list[str]]:
+    """(row_id, whole, record columns) and the names of the record columns: each row as a tuple of integers.
 
     ``columns`` says the kind of value of each column; columns of one kind share integers. ``canon`` has each kind's
-    canonical form as a column rule.
+    canonical form as a column rule. ``whole`` says whether all ``required`` columns have a value.
     """
-    rows = rows.select(row_id, *(F.col(c).cast("string").alias(c) for c in columns))
+    rows = rows.select(F.col(row_id).alias("row_id"), *(F.col(c).cast("string").alias(c) for c in columns))
     dictionary = _dictionary(rows, columns, canon)
-    sizes = {r["kind"]: r for r in dictionary.groupBy("kind").agg(F.sum(F.octet_length("raw") + 40).alias("bytes"), F.sum("n").alias("n")).collect()}
+    sums = [F.sum(F.octet_length("raw") + 40).alias("bytes"), F.min("id").alias("first"), F.max("id").alias("last")]
+    kinds = {r["kind"]: r for r in dictionary.groupBy("kind").agg(*sums).collect()}
     n_rows = rows.count()
-    order = sorted(columns, key=lambda c: sizes[columns[c]]["bytes"] if columns[c] in sizes else 0)
-    for c in order:
-        kind = columns[c]
-        small = kind not in sizes or sizes[kind]["bytes"] <= BROADCAST_BYTES
-        rows = _encode(rows, c, dictionary.filter(F.col("kind") == kind), n_rows, small, row_id)
-    fields = [F.col(c) + (i << VALUE_BITS) for i, c in enumerate(columns)]
-    return rows.select(row_id, *columns, F.array_sort(F.array_compact(F.array(*fields))).alias("record"))
+    small = [c for c in columns if columns[c] not in kinds or kinds[columns[c]]["bytes"] <= BROADCAST_BYTES]
+    record: list[str] = []
+    packed, bits = F.lit(0).cast("long"), 0
+
+    def flush(rows: DataFrame, packed: Column, bits: int) -> DataFrame:
+        if bits:
+            record.append(f"_p{len(record)}")
+            rows = rows.withColumn(record[-1], packed).drop(*waiting)
+            waiting.clear()
+        return rows
+
+    waiting: list[str] = []
+    for c in [*(c for c in small if c not in required), *(c for c in columns if c in required or c not in small)]:
+        kind = kinds.get(columns[c])
+        first, last = (kind["first"], kind["last"]) if kind else (0, -1)
+        entries = dictionary.filter(F.col("kind") == columns[c]).withColumn("id", F.col("id") - first + 1)
+        if c in small and c not in required:
+            width = (last - first + 1).bit_length()
+            if bits + width > PACKED_BITS:
+                rows, packed, bits = flush(rows, packed, bits), F.lit(0).cast("long"), 0
+            rows = _encode(rows, c, entries, n_rows, True, "row_id")
+            packed, bits = packed + F.shiftleft(F.coalesce(F.col(c), F.lit(0)), bits), bits + width
+            waiting.append(c)
+        else:
+            rows, packed, bits = flush(rows, packed, bits), F.lit(0).cast("long"), 0
+            rows = _encode(rows, c, entries, n_rows, c in small, "row_id")
+            record.append(c)
+    rows = flush(rows, packed, bits)
+    whole = F.lit(True)
+    for c in required:
+        whole = whole & F.col(c).isNotNull()
+    return rows.select("row_id", whole.alias("whole"), *(F.coalesce(F.col(c), F.lit(0)).alias(c) for c in record)), record
 
 
 def copies(
@@ -76,14 +104,12 @@ def copies(
     record of its own. Of equal records the smallest row_id comes first. ``row_id`` must be unique; other columns are
     ignored; an empty table gives empty results.
     """
-    encoded = stage(encode_records(rows, row_id, columns, canon).withColumnRenamed(row_id, "row_id"), "records")
-    whole = F.lit(True)
-    for c in required or []:
-        whole = whole & F.col(c).isNotNull()
+    encoded, record = encode_records(rows, row_id, columns, canon, required or [])
+    encoded = stage(encoded, "records")
     # copies are counted before the shuffle: a record that is most of the table is one row of each task
-    groups = encoded.filter(whole).groupBy("record").agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("copies"))
+    groups = encoded.filter("whole").groupBy(*record).agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("copies"))
     groups = stage(groups, "groups")
-    repeated = groups.filter("copies > 1").select("record", "first_row_id")
-    found = encoded.filter(whole).select("row_id", "record").join(repeated, "record").filter("row_id <> first_row_id").select("row_id", "first_row_id")
-    alone = encoded.filter(~whole).select(F.col("row_id").alias("first_row_id"), F.lit(1).cast("long").alias("copies"))
+    repeated = groups.filter("copies > 1").select(*record, "first_row_id")
+    found = encoded.filter("whole").select("row_id", *record).join(repeated, record).filter("row_id <> first_row_id").select("row_id", "first_row_id")
+    alone = encoded.filter("NOT whole").select(F.col("row_id").alias("first_row_id"), F.lit(1).cast("long").alias("copies"))
     return found, groups.select("first_row_id", "copies").unionByName(alone)

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomgraph.session import stage
+
 #: Pieces (light buckets, or heavy keys) a task gets on average; bounds what the driver packs per task.
 BUCKETS_PER_TASK, PIECES_PER_TASK = 16, 4
 
@@ -102,7 +104,7 @@ def key_profiles(edges: DataFrame, nodes: DataFrame, tasks: int | None = None) -
     """
     keys = ["field", "node_id"]
     ends = edges.filter(F.col("node_id").isNotNull()).select("field", "node_id", "other", "predicate")
-    where = place(ends.groupBy(*keys).agg(F.count("*").alias("load")), keys, tasks)
+    where = place(stage(ends.groupBy(*keys).agg(F.count("*").alias("load")), "loads"), keys, tasks)
     # parallel edges are added up before they travel, whatever key they have; a key's shards get disjoint neighbours
     merged = ends.groupBy("field", "node_id", "other", "predicate").agg(F.count("*").alias("n"))
     rows = where.fragment(merged, [F.col("other")])

@@ -71,9 +71,11 @@ def row_entities(nodes: DataFrame, rules: Rules) -> DataFrame:
 
 
 def node_entities(nodes: DataFrame, rules: Rules) -> DataFrame:
-    """(node_id, entity): of several rows of an id, the entity of highest priority; null if none has one."""
+    """(node_id, entity): of several rows of an id, the entity of highest priority, those without one last and by name; null
+    if no row has an entity."""
     rows = row_entities(nodes, rules).join(broadcast_if_small(rules.priority), "entity", "left")
-    return rows.groupBy("node_id").agg(F.min_by("entity", "prio").alias("entity"))
+    rank = F.when(F.col("entity").isNotNull(), F.struct(F.coalesce("prio", F.lit(1 << 20)), F.col("entity")))
+    return rows.groupBy("node_id").agg(F.min_by("entity", rank).alias("entity"))
 
 
 def coverage(nodes: DataFrame, entities: DataFrame) -> DataFrame:

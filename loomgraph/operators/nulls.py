@@ -26,7 +26,7 @@ def draws(universe: DataFrame, n: int, permutations: int, seed: int = 42) -> Dat
     total = universe.count()
     share = min(1.0, (4 * n + 64) / max(1, total))
     rows = universe.select("node_id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")).withColumn("_h", F.xxhash64(F.lit(seed), "perm", "node_id"))
-    rows = rows.filter(F.col("_h") <= int(-(1 << 63) + share * ((1 << 64) - 1)))
+    rows = rows.filter(F.col("_h") <= min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
     w = Window.partitionBy("perm").orderBy("_h", "node_id")
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).select("perm", "node_id")
 

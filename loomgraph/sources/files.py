@@ -80,9 +80,13 @@ def write_report(df: DataFrame, path: str, order: list[Column] | None = None, se
 
 
 def manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, size, sha256) of all files below a folder, paths relative to it; files are hashed where they are read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    """(path, size, sha256) of all files below a folder, paths relative to it; files are hashed where they are read.
+    Spark's reader passes over empty files, so those come from its list of files."""
     root = os.path.realpath(folder) if "://" not in folder else folder
-    at = F.regexp_replace(F.col("path"), "^[a-z]+:/*(?=/)", "")
-    local = F.expr(f"substring(_at, length('{root}') + 2)")
-    return files.withColumn("_at", at).select(F.when(F.col("_at").startswith(root), local).otherwise(F.element_at(F.split("_at", "/"), -1)).alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    local = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
+    hashed = files.select(local.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "path string").select(F.url_decode(local).alias("path"))
+    empty = listed.join(hashed.select("path"), "path", "left_anti").select("path", F.lit(0).cast("long").alias("size"), F.sha2(F.lit(b""), 256).alias("sha256"))
+    start = len(root.rstrip("/")) + 2
+    return hashed.unionByName(empty).withColumn("path", F.when(F.col("path").startswith(root), F.substring("path", start, 1 << 20)).otherwise(F.col("path")))

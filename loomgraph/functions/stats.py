@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.running import running_sums
+from loomgraph.session import stage
 
 
 def benjamini_hochberg(df: DataFrame, p: str, groups: list[str], q: str = "q") -> DataFrame:
@@ -25,29 +26,44 @@ def benjamini_hochberg(df: DataFrame, p: str, groups: list[str], q: str = "q") -
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """``df`` with the place of each row in its group, from 1, for groups whose rows fit a task."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
 
 
+def ranked_by_range(df: DataFrame, groups: list[str], order: list[Column], name: str = "rank") -> DataFrame:
+    """The same for groups of any size: rows are range-partitioned by group and order, so a large group spreads over
+    several partitions; its rows get their place in the partition plus the number of its rows before it. Only groups that
+    span partitions have such a number, at most two a partition, so those are broadcast."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = stage(df.repartitionByRange(parts, *groups, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+    per = rows.groupBy(*groups, "_part").agg(F.count("*").alias("_c"))
+    wide = per.groupBy(*groups).agg(F.collect_list(F.struct("_part", "_c")).alias("_parts")).filter(F.size("_parts") > 1)
+    before = F.transform("_parts", lambda p: F.struct(p["_part"].alias("_part"), F.aggregate("_parts", F.lit(0).cast("long"), lambda a, q: a + F.when(q["_part"] < p["_part"], q["_c"]).otherwise(0)).alias("_before")))
+    wide = wide.select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.explode(before).alias("_b")).select(*(f"_g_{g}" for g in groups), F.col("_b._part").alias("_p"), F.col("_b._before").alias("_before"))
+    same = F.col("_part") == F.col("_p")
+    for g in groups:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    rows = rows.join(F.broadcast(wide), same, "left")
+    place = F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(*order)) + F.coalesce("_before", F.lit(0))
+    return rows.withColumn(name, place.cast("int")).select(*df.columns, name)
+
+
 def ranking_metrics(df: DataFrame, groups: list[str], relevant: Column, ks: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
     """Per group of a ranked list (column ``rank``): n, n_relevant, precision, recall, enrichment and NDCG at each k,
     average precision and mean rank of the relevant.
 
     Precision divides by k even if the list is shorter. Without relevant items NDCG, AP and recall are 0, enrichment and
-    mean rank null.
+    mean rank null. Only relevant rows are put in order; the others are counted.
     """
-    rows = df.withColumn("_r", relevant.cast("int"))
-    w = Window.partitionBy(*groups).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_hits", F.sum("_r").over(w))
-    aggs = [
-        F.count("*").alias("n"),
-        F.sum("_r").cast("long").alias("n_relevant"),
-        F.coalesce(F.avg(F.when(F.col("_r") == 1, F.col("_hits") / F.col("rank"))), F.lit(0.0)).alias("ap"),
-        F.avg(F.when(F.col("_r") == 1, F.col("rank"))).alias("mean_rank"),
-    ]
+    counts = df.groupBy(*groups).agg(F.count("*").alias("n"))
+    rows = df.filter(relevant).select(*groups, "rank")
+    rows = rows.withColumn("_hits", F.row_number().over(Window.partitionBy(*groups).orderBy("rank")))
+    aggs = [F.count("*").alias("n_relevant"), F.avg(F.col("_hits") / F.col("rank")).alias("ap"), F.avg("rank").alias("mean_rank")]
     for k in ks:
-        top = (F.col("rank") <= k) & (F.col("_r") == 1)
+        top = F.col("rank") <= k
         aggs += [F.sum(F.when(top, 1).otherwise(0)).alias(f"_h{k}"), F.sum(F.when(top, 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias(f"_d{k}")]
-    out = rows.groupBy(*groups).agg(*aggs)
+    out = counts.join(rows.groupBy(*groups).agg(*aggs), groups, "left")
+    out = out.fillna(0, ["n_relevant", *(f"_h{k}" for k in ks)]).fillna(0.0, ["ap", *(f"_d{k}" for k in ks)])
     columns = [*groups, "n", "n_relevant", "ap", "mean_rank"]
     for k in ks:
         ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n_relevant"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))

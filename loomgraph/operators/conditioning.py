@@ -8,15 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import by_rules, edge_weight
-from loomgraph.session import broadcast_if_small
 
 PROPAGATING = ["mechanistic", "weak_mechanistic_or_observational"]
 OBSERVED = "Observational Association"
+MOST_RULES = 10_000
 
 
 @dataclass
 class Rules:
-    """Rule tables. They come from a file a person writes, so they are small; joins still check their size."""
+    """Rule tables of a file a person writes. Those of up to ``MOST_RULES`` rows are marked for broadcast."""
 
     sabs: DataFrame
     id_rules: list[tuple[str, str]]
@@ -29,11 +29,15 @@ class Rules:
 
     @classmethod
     def of(cls, spark: SparkSession, sabs: dict, id_rules: list, priority: list, non_flow: list, observational: list, flows: list, overrides: list, ignored: list | None = None) -> Rules:
-        make = spark.createDataFrame
+        def make(rows: list, schema: str) -> DataFrame:
+            df = spark.createDataFrame(rows, schema)
+            return F.broadcast(df) if len(rows) <= MOST_RULES else df
+
+        others = sorted(({*sabs.values(), "G", "RNA", "P"} | {e for _, e in id_rules}) - set(priority))
         return cls(
             make(list(sabs.items()), "sab string, entity string"),
             id_rules,
-            make([(e, i) for i, e in enumerate(priority)], "entity string, prio int"),
+            make([(e, i) for i, e in enumerate([*priority, *others])], "entity string, prio int"),
             make([(p,) for p in non_flow], "predicate string"),
             make([(p,) for p in observational], "predicate string"),
             make(flows, "predicate string, flow string, class string"),
@@ -61,7 +65,7 @@ def load_rules(spark: SparkSession, path: str) -> Rules:
 def row_entities(nodes: DataFrame, rules: Rules) -> DataFrame:
     """(node_id, entity) of every Concept or Code row: an ignored vocabulary gives none; ENSEMBL goes by the id's prefix;
     else the vocabulary decides, else the first id rule that matches."""
-    rows = nodes.filter(F.lower("label").isin("concept", "code")).join(broadcast_if_small(rules.sabs.withColumnRenamed("entity", "_e")), "sab", "left")
+    rows = nodes.filter(F.lower("label").isin("concept", "code")).join(rules.sabs.withColumnRenamed("entity", "_e"), "sab", "left")
     local = F.element_at(F.split("node_id", ":"), -1)
     ensembl = F.when(local.startswith("ENST"), "RNA").when(local.startswith("ENSP"), "P").otherwise("G")
     entity = F.when(F.col("sab") == "ENSEMBL", ensembl).otherwise(F.coalesce("_e", by_rules(F.col("node_id"), rules.id_rules)))
@@ -73,9 +77,8 @@ def row_entities(nodes: DataFrame, rules: Rules) -> DataFrame:
 def node_entities(nodes: DataFrame, rules: Rules) -> DataFrame:
     """(node_id, entity): of several rows of an id, the entity of highest priority, those without one last and by name; null
     if no row has an entity."""
-    rows = row_entities(nodes, rules).join(broadcast_if_small(rules.priority), "entity", "left")
-    rank = F.when(F.col("entity").isNotNull(), F.struct(F.coalesce("prio", F.lit(1 << 20)), F.col("entity")))
-    return rows.groupBy("node_id").agg(F.min_by("entity", rank).alias("entity"))
+    rows = row_entities(nodes, rules).join(rules.priority, "entity", "left")
+    return rows.groupBy("node_id").agg(F.min("prio").alias("prio")).join(rules.priority, "prio", "left").select("node_id", "entity")
 
 
 def coverage(nodes: DataFrame, entities: DataFrame) -> DataFrame:
@@ -94,12 +97,11 @@ def concept_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
 def resolve_flows(edges: DataFrame, rules: Rules) -> DataFrame:
     """bifo_flow and classification: non-flow predicates have none; then the observational list, then the override for
     the pair of entities, then the predicate's rule. drop_reason: unresolved end first, then non_flow, then unmapped."""
-    small = broadcast_if_small
-    e = edges.join(small(rules.non_flow.withColumn("_non", F.lit(True))), "predicate", "left")
-    e = e.join(small(rules.observational.withColumn("_obs", F.lit(True))), "predicate", "left")
+    e = edges.join(rules.non_flow.withColumn("_non", F.lit(True)), "predicate", "left")
+    e = e.join(rules.observational.withColumn("_obs", F.lit(True)), "predicate", "left")
     over = rules.overrides.withColumnRenamed("flow", "_of").withColumnRenamed("class", "_oc")
-    e = e.join(small(over), ["predicate", "source_entity", "target_entity"], "left")
-    e = e.join(small(rules.flows.withColumnRenamed("flow", "_ff").withColumnRenamed("class", "_fc")), "predicate", "left")
+    e = e.join(over, ["predicate", "source_entity", "target_entity"], "left")
+    e = e.join(rules.flows.withColumnRenamed("flow", "_ff").withColumnRenamed("class", "_fc"), "predicate", "left")
     flow = F.when(F.col("_non"), None).when(F.col("_obs"), OBSERVED).otherwise(F.coalesce("_of", "_ff"))
     kind = F.when(F.col("_non"), None).when(F.col("_obs"), "observational").otherwise(F.coalesce("_oc", "_fc"))
     unresolved = F.col("source_entity").isNull() | F.col("target_entity").isNull()
@@ -129,7 +131,7 @@ def funnel(conditioned: DataFrame) -> DataFrame:
 
 def metadata_filtered(edges: DataFrame, rules: Rules) -> DataFrame:
     """Edges without non-flow predicates; all of them propagate. A null predicate stays."""
-    return edges.join(broadcast_if_small(rules.non_flow), "predicate", "left_anti")
+    return edges.join(rules.non_flow, "predicate", "left_anti")
 
 
 def mechanistic(kept_edges: DataFrame) -> DataFrame:

@@ -6,29 +6,50 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.session import stage
+from loomgraph.operators.skew import place
+from loomgraph.session import BROADCAST_BYTES, stage
 
 ALPHA, ITERATIONS = 0.5, 20
 #: Steps between two written tables; so many joins are planned as one job.
 CUT_EVERY = 5
+#: Bytes of a node's key in a broadcast, besides its values.
+ROW_BYTES = 80
 
 
 def pagerank_vectors(transitions: DataFrame, restarts: DataFrame, vectors: list[str], alpha: float = ALPHA, iterations: int = ITERATIONS, tolerance: float | None = None) -> DataFrame:
     """(node_id, *vectors) after ``iterations`` steps f <- (1 - alpha) P'f + alpha s, without rescaling.
 
-    ``transitions`` (src, dst, p) with row sums of at most 1; ``restarts`` (node_id, *vectors) with the restart mass. The
-    transitions are partitioned by source once; each step then shuffles one partial sum per target and task. With
+    ``transitions`` (src, dst, p) with row sums of at most 1; ``restarts`` (node_id, *vectors) with the restart mass. Scores of
+    a counted, small number of nodes are broadcast each step; beyond that, transitions are partitioned by source once. Either
+    way a step shuffles one partial sum per target and task. With
     ``tolerance`` the steps end early once no vector changes by more in sum. Mass of nodes without outgoing transitions is
     lost; null ends match nothing.
     """
     parts = int(transitions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    moves = transitions.repartition(parts, "src").persist(StorageLevel.MEMORY_AND_DISK)
-    restarts = stage(restarts, "restarts")
+    transitions, restarts = stage(transitions, "transitions"), stage(restarts, "restarts")
+    targets = transitions.select("dst").distinct().count() + restarts.count()
+    small = targets * (ROW_BYTES + 16 * len(vectors)) <= BROADCAST_BYTES
+    hubs, where = False, None
+    if small:  # all scores fit every task, so transitions stay where they are
+        moves = transitions
+    else:
+        where = place(stage(transitions.groupBy("src").agg(F.count("*").alias("load")), "loads"), ["src"], parts)
+        hubs = not where.heavy.isEmpty()
+        # a source with much of the graph is split into shards by target, and its score sent to each of them
+        moves = where.fragment(transitions, [F.col("dst")]) if hubs else transitions.repartition(parts, "src")
+    moves = moves.persist(StorageLevel.MEMORY_AND_DISK)
+
+    def step_from(scores: DataFrame) -> DataFrame:
+        sent = scores.withColumnRenamed("node_id", "src")
+        if small:
+            return moves.join(F.broadcast(sent), "src")
+        return moves.join(where.replicate(sent), ["_task", "_shard", "src"]) if hubs else moves.join(sent, "src")
+
     jump = restarts.select("node_id", *((alpha * F.col(v)).alias(v) for v in vectors))
     scores = restarts
     for step in range(1, iterations + 1):
         before = scores
-        moved = moves.join(scores, moves["src"] == scores["node_id"]).select(F.col("dst").alias("node_id"), *(((1 - alpha) * F.col("p") * F.col(v)).alias(v) for v in vectors))
+        moved = step_from(scores).select(F.col("dst").alias("node_id"), *(((1 - alpha) * F.col("p") * F.col(v)).alias(v) for v in vectors))
         scores = moved.unionByName(jump).groupBy("node_id").agg(*(F.sum(v).alias(v) for v in vectors))
         if step % CUT_EVERY == 0 or step == iterations:
             scores = stage(scores, "scores")

@@ -539,7 +539,7 @@ def _runs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return stats.ranked(_runs(spark, d), ["run_id"], [F.desc("v"), F.asc("row_id")])
+    return stats.ranked_by_range(_runs(spark, d), ["run_id"], [F.desc("v"), F.asc("row_id")])
 
 
 @query(f"""WITH {_RUNS}, k AS (SELECT v AS x, * FROM runs), o AS (SELECT id, max(v) AS observed FROM runs WHERE run_id LIKE '%PRIMARY' AND id IS NOT NULL GROUP BY 1),
@@ -588,7 +588,7 @@ def a12_ranking_metrics(spark, d):
 SELECT run_id, round(avg(rank) FILTER (in_chd_set), 9) AS mean_rank, round(avg(raw_rank) FILTER (in_chd_set), 9) AS mean_rank_raw,
 round(avg(raw_rank) FILTER (in_chd_set) - avg(rank) FILTER (in_chd_set), 9) AS rank_improvement, count(*) FILTER (degree_flag AND rank <= 10) / 10 AS hub_fraction FROM ranked JOIN w USING (run_id, row_id) GROUP BY 1""")
 def a13_recovery_by_run(spark, d):
-    rows = stats.ranked(_ranked(spark, d), ["run_id"], [F.desc_nulls_last("direct_raw"), F.asc("row_id")], "raw_rank")
+    rows = stats.ranked_by_range(_ranked(spark, d), ["run_id"], [F.desc_nulls_last("direct_raw"), F.asc("row_id")], "raw_rank")
     cond, raw = (F.avg(F.when(F.col("in_chd_set"), F.col(c))) for c in ("rank", "raw_rank"))
     hubs = F.sum(F.when(F.col("degree_flag") & (F.col("rank") <= 10), 1).otherwise(0)) / 10
     return rows.groupBy("run_id").agg(F.round(cond, 9).alias("mean_rank"), F.round(raw, 9).alias("mean_rank_raw"), F.round(raw - cond, 9).alias("rank_improvement"), hubs.alias("hub_fraction"))

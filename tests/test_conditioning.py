@@ -100,8 +100,9 @@ def pagerank_by_hand(edges, seeds, alpha, steps, normalize):
     return {n: v / total for n, v in f.items() if v > 0}
 
 
-@pytest.mark.parametrize("normalize", [True, False])
-def test_pagerank(spark, normalize):
+@pytest.mark.parametrize(("normalize", "limit"), [(True, 8 << 20), (False, 8 << 20), (True, 0)])
+def test_pagerank(spark, monkeypatch, normalize, limit):
+    monkeypatch.setattr(propagate, "BROADCAST_BYTES", limit)
     edges = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "a")]
     e = spark.createDataFrame([(s, t, "x", None, None, None) for s, t in edges], EDGES)
     moves = c.row_normalized(c.unit_operator(e))
@@ -113,6 +114,17 @@ def test_pagerank(spark, normalize):
         assert sum(got.values()) == pytest.approx(1)
 
 
+@pytest.mark.parametrize("limit", [0, 8 << 20])
+def test_pagerank_with_a_hub(spark, monkeypatch, limit):
+    monkeypatch.setattr(propagate, "BROADCAST_BYTES", limit)
+    edges = [("hub", f"n{i}") for i in range(120)] + [(f"n{i}", "hub") for i in range(0, 120, 3)] + [("n1", "n2")]
+    e = spark.createDataFrame([(s, t, "x", None, None, None) for s, t in edges], EDGES)
+    moves = c.row_normalized(c.unit_operator(e))
+    restarts = spark.createDataFrame([("hub", 1.0)], "node_id string, score double")
+    got = {r["node_id"]: r["score"] for r in propagate.pagerank_vectors(moves, restarts, ["score"]).collect()}
+    assert got == pytest.approx(pagerank_by_hand(edges, ["hub"], 0.5, propagate.ITERATIONS, False), abs=1e-12)
+
+
 def test_many_restarts_are_linear(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "c"), ("d", "a")]
     e = spark.createDataFrame([(s, t, "x", None, None, None) for s, t in edges], EDGES)

@@ -73,6 +73,14 @@ def test_ranking_metrics(spark):
     assert (n["ap"], n["ndcg_at_2"], n["recall_at_2"], n["enrich_at_2"], n["mean_rank"]) == (0.0, 0.0, 0.0, None, None)
 
 
+def test_ranks_of_a_group_over_many_partitions(spark):
+    rows = [("hot", (i * 7919) % 3001, i) for i in range(3001)] + [(f"g{i % 50}", i % 7, i) for i in range(500)] + [(None, i % 3, i) for i in range(20)]
+    df = spark.createDataFrame(rows, "g string, v int, i int")
+    order = [F.desc("v"), F.asc("i")]
+    a = stats.ranked_by_range(df, ["g"], order)
+    assert a.exceptAll(stats.ranked(df, ["g"], order)).count() == 0 and a.count() == len(rows)
+
+
 def test_empirical(spark):
     nul = spark.createDataFrame([("a", v) for v in (1.0, 2.0, 3.0)] + [("b", 0.0)] * 3 + [("c", 2.0)] * 2, "k string, null double")
     obs = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", 2.0), ("d", 1.0)], "k string, observed double")

@@ -14,7 +14,7 @@ REQUIRED = {
     "analysis": ["type", "description", "variant_type", "input_data_type", "input_data_description"],
     "cohort": ["name", "disease", "n_probands", "source", "repository", "accession", "data_access_url"],
     "knowledge_graph": ["name", "version", "doi_or_url", "export_query_file"],
-    "pipeline": ["bifo_git_commit", "bifo_ontology_version", "bifo_ontology_file", "pipeline_log_file"],
+    "pipeline": ["code_commit", "rules_version", "rules_file", "pipeline_log_file"],
     "attribution": ["analyst_name", "institution", "contact_email"],
 }
 

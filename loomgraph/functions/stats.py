@@ -93,6 +93,13 @@ def roc_and_precision(scored: DataFrame, score: str, positive: Column) -> DataFr
     return totals.select("n", "positives", F.when(both, 1 - F.col("_above") / (F.col("positives") * negatives)).alias("auroc"), F.when(both, F.col("_ap") / F.col("positives")).alias("auprc"))
 
 
+def pointwise_precision(scored: DataFrame, score: str, positive: Column, key: str = "node_id") -> DataFrame:
+    """One row (n, positives, auprc): mean of hits by rank over the positives, of equal scores positives first."""
+    order = [F.desc(score), F.desc("_y"), F.asc(key)]
+    run = running_sums(scored.withColumn("_y", positive.cast("int")), order, {"_k": F.lit(1), "_hits": F.col("_y")})
+    return run.agg(F.count("*").alias("n"), F.sum("_y").cast("long").alias("positives"), F.avg(F.when(F.col("_y") == 1, F.col("_hits") / F.col("_k"))).alias("auprc"))
+
+
 def signal(scored: DataFrame, score: str, positive: Column, ks: tuple[int, ...] = (50, 100)) -> DataFrame:
     """One row: entropy of the scores, share of score on positives (localization), share of positives among the top k."""
     x = F.col(score)

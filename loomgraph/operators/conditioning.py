@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import by_rules, edge_weight
+from loomgraph.session import broadcast_if_small
 
 PROPAGATING = ["mechanistic", "weak_mechanistic_or_observational"]
 OBSERVED = "Observational Association"
 MOST_RULES = 10_000
+# Words of compartments in GO names.
+COMPARTMENTS = ["membrane", "nucleus", "cytoplasm", "cytosol", "mitochond", "extracellular", "organelle"]
 
 
 @dataclass
@@ -62,13 +65,29 @@ def load_rules(spark: SparkSession, path: str) -> Rules:
     return Rules.of(spark, node.get("sab_to_entity") or {}, id_rules, node.get("priority_order") or [], names("non_flow_edges"), names("observational_edges"), flows, overrides, flat)
 
 
-def row_entities(nodes: DataFrame, rules: Rules) -> DataFrame:
-    """(node_id, entity) of every Concept or Code row: an ignored vocabulary gives none; ENSEMBL goes by the id's prefix;
-    else the vocabulary decides, else the first id rule that matches."""
+def go_entity(namespace: Column, name: Column) -> Column:
+    """Entity of a GO term by its namespace, else by words of its name; null where neither tells."""
+    space, text = (F.lower(F.trim(F.coalesce(c, F.lit("")))) for c in (namespace, name))
+    is_in = lambda *words: space.isin([w.replace(" ", "_") for w in words] + [f"go_{w.split()[-1]}" for w in words] + [w.split()[-1] for w in words]) | space.contains(words[0])
+    cellular = F.when(text.contains("complex"), "CM").otherwise("S")
+    by_space = F.when(is_in("cellular component") | (space == "cc"), cellular).when(space == "complex", "CM").when(is_in("biological process", "molecular function") | space.contains("molecular function") | space.isin("bp", "mf"), "PW")
+    by_name = F.when(text.contains("complex"), "CM").when(text.rlike("|".join(COMPARTMENTS)), "S")
+    return F.when(space != "", by_space).otherwise(by_name)
+
+
+def row_entities(nodes: DataFrame, rules: Rules, ontology: DataFrame | None = None) -> DataFrame:
+    """(node_id, entity) of every Concept or Code row: an ignored vocabulary gives none; ENSEMBL goes by the id's prefix; GO
+    terms go by ``ontology`` (accession, namespace) if it is given; else the vocabulary decides, else the first id rule that
+    matches."""
+    if ontology is not None:
+        spaces = ontology.select(F.col("accession").alias("node_id"), go_entity(F.col("namespace"), F.lit(None).cast("string")).alias("_go"))
+        nodes = nodes.join(broadcast_if_small(spaces), "node_id", "left")
     rows = nodes.filter(F.lower("label").isin("concept", "code")).join(rules.sabs.withColumnRenamed("entity", "_e"), "sab", "left")
     local = F.element_at(F.split("node_id", ":"), -1)
     ensembl = F.when(local.startswith("ENST"), "RNA").when(local.startswith("ENSP"), "P").otherwise("G")
     entity = F.when(F.col("sab") == "ENSEMBL", ensembl).otherwise(F.coalesce("_e", by_rules(F.col("node_id"), rules.id_rules)))
+    if ontology is not None:
+        entity = F.coalesce("_go", entity)
     if rules.ignored:
         entity = F.when(F.col("sab").isin(rules.ignored), F.lit(None).cast("string")).otherwise(entity)
     return rows.select("node_id", entity.alias("entity"))
@@ -95,7 +114,7 @@ def concept_edges(edges: DataFrame, entities: DataFrame) -> DataFrame:
 
 
 def resolve_flows(edges: DataFrame, rules: Rules) -> DataFrame:
-    """bifo_flow and classification: non-flow predicates have none; then the observational list, then the override for
+    """flow_class and classification: non-flow predicates have none; then the observational list, then the override for
     the pair of entities, then the predicate's rule. drop_reason: unresolved end first, then non_flow, then unmapped."""
     e = edges.join(rules.non_flow.withColumn("_non", F.lit(True)), "predicate", "left")
     e = e.join(rules.observational.withColumn("_obs", F.lit(True)), "predicate", "left")
@@ -106,7 +125,7 @@ def resolve_flows(edges: DataFrame, rules: Rules) -> DataFrame:
     kind = F.when(F.col("_non"), None).when(F.col("_obs"), "observational").otherwise(F.coalesce("_oc", "_fc"))
     unresolved = F.col("source_entity").isNull() | F.col("target_entity").isNull()
     reason = F.when(unresolved, "unresolved").when(F.col("_non"), "non_flow").when(flow.isNull(), "unmapped")
-    e = e.withColumn("bifo_flow", flow).withColumn("classification", kind).withColumn("drop_reason", reason)
+    e = e.withColumn("flow_class", flow).withColumn("classification", kind).withColumn("drop_reason", reason)
     return e.drop("_non", "_obs", "_of", "_oc", "_ff", "_fc")
 
 
@@ -161,4 +180,4 @@ def row_normalized(operator: DataFrame) -> DataFrame:
 
 
 def flow_distribution(kept_edges: DataFrame) -> DataFrame:
-    return kept_edges.filter("propagating and bifo_flow <> ''").groupBy("bifo_flow").agg(F.count("*").alias("n"))
+    return kept_edges.filter("propagating and flow_class <> ''").groupBy("flow_class").agg(F.count("*").alias("n"))

@@ -47,7 +47,7 @@ def seed_permutation_null(transitions: DataFrame, drawn: DataFrame, n: int, path
 def bridges(kept_edges: DataFrame, flow: str = "Pathway Contribution") -> tuple[DataFrame, DataFrame]:
     """Propagating edges into pathways, and the other propagating edges."""
     moving = kept_edges.filter("propagating")
-    is_bridge = F.coalesce(F.col("bifo_flow") == flow, F.lit(False))
+    is_bridge = F.coalesce(F.col("flow_class") == flow, F.lit(False))
     return moving.filter(is_bridge), moving.filter(~is_bridge)
 
 
@@ -93,7 +93,7 @@ def gene_strata(genes: DataFrame, kept_edges: DataFrame, bins: int = 10) -> Data
     """(gene, stratum): bins of the logarithms of out-degree and of memberships among propagating edges (1 if there are
     none), edges of the bins being exact percentiles; a value on an edge belongs to the bin above."""
     moving = kept_edges.filter("propagating")
-    degree = moving.groupBy(F.col("source").alias("gene")).agg(F.count("*").alias("_d"), F.sum(F.when(F.col("bifo_flow") == "Pathway Contribution", 1).otherwise(0)).alias("_m"))
+    degree = moving.groupBy(F.col("source").alias("gene")).agg(F.count("*").alias("_d"), F.sum(F.when(F.col("flow_class") == "Pathway Contribution", 1).otherwise(0)).alias("_m"))
     rows = genes.join(degree, "gene", "left")
     rows = rows.select("gene", F.log10(F.coalesce("_d", F.lit(1)).cast("double")).alias("d"), F.log10(F.greatest(F.coalesce("_m", F.lit(1)), F.lit(1)).cast("double")).alias("m"))
     inner = F.array(*(F.lit(i / bins) for i in range(1, bins)))

@@ -110,7 +110,7 @@ resolved AS (SELECT e.*, s.entity AS source_entity, t.entity AS target_entity, s
  LEFT JOIN overrides o ON e.predicate = o.predicate AND s.entity = o.source_entity AND t.entity = o.target_entity
  LEFT JOIN flows f ON e.predicate = f.predicate),
 conditioned AS (SELECT tbl, row_id, source, target, predicate, confidence, evidence_type, value, source_entity, target_entity,
- CASE WHEN coalesce(non_flow, false) THEN NULL WHEN coalesce(observed, false) THEN 'Observational Association' ELSE coalesce(o_flow, f_flow) END AS bifo_flow,
+ CASE WHEN coalesce(non_flow, false) THEN NULL WHEN coalesce(observed, false) THEN 'Observational Association' ELSE coalesce(o_flow, f_flow) END AS flow_class,
  CASE WHEN coalesce(non_flow, false) THEN NULL WHEN coalesce(observed, false) THEN 'observational' ELSE coalesce(o_class, f_class) END AS classification,
  CASE WHEN source_entity IS NULL OR target_entity IS NULL THEN 'unresolved' WHEN coalesce(non_flow, false) THEN 'non_flow'
   WHEN coalesce(observed, false) OR o_flow IS NOT NULL OR f_flow IS NOT NULL THEN NULL ELSE 'unmapped' END AS drop_reason

@@ -102,6 +102,14 @@ def s2_typed_table(spark, d):
     return rows.filter("confidence is not null")
 
 
+@query(f"""SELECT layout, count(*) AS n_lines, count(*) FILTER (NOT regexp_matches(ltrim(coalesce(line, '')), '^(WARNING|Failed|java[.])')
+ AND trim(coalesce(line, ''), {" || ".join(f"chr({ord(x)})" for x in WHITE)}) <> '') AS n_rows FROM raw_export_lines GROUP BY 1""")
+def s7_shell_messages(spark, d):
+    line = F.coalesce("line", F.lit(""))
+    row = ~F.ltrim(line).rlike(r"^(WARNING|Failed|java\.)") & (F.btrim(line, F.lit(WHITE)) != "")
+    return table(spark, d, "raw_export_lines").groupBy("layout").agg(F.count("*").alias("n_lines"), F.count(F.when(row, 1)).alias("n_rows"))
+
+
 @query(f"""WITH {GRAPH} SELECT tbl, predicate, count(*) AS n FROM g_edges GROUP BY 1, 2""")
 def s8_merge_edges(spark, d):
     return graph.edges(spark, d).groupBy("tbl", "predicate").agg(F.count("*").alias("n"))
@@ -221,6 +229,11 @@ def proj4_ensembl_entity(spark, d):
     return typed.select(F.substring_index("node_id", "\t", -1).cast("long").alias("row_id"), "entity")
 
 
+@query(f"""WITH {GRAPH} SELECT row_id, CASE WHEN contains(lower(name), 'complex') THEN 'CM' WHEN regexp_matches(lower(name), '{"|".join(conditioning.COMPARTMENTS)}') THEN 'S' END AS entity FROM g_nodes WHERE sab = 'GO'""")
+def proj5_go_entities(spark, d):
+    return graph.nodes(spark, d).filter("sab = 'GO'").select("row_id", conditioning.go_entity(F.lit(None).cast("string"), F.col("name")).alias("entity"))
+
+
 @query("SELECT lower(trim(label)) AS label, count(*) AS n FROM nodes GROUP BY 1")
 def proj6_labels(spark, d):
     return table(spark, d, "nodes").groupBy(F.lower(F.trim("label")).alias("label")).agg(F.count("*").alias("n"))
@@ -254,6 +267,13 @@ def proj10_safe_values(spark, d):
     return rows.select("row_id", F.when(~F.isnan("null_z"), F.col("null_z")).alias("null_z"), flag.alias("flag"))
 
 
+@query("SELECT row_id, round(sqrt(abs(direct)), 9) AS root, round(log2(1 + abs(direct)), 9) AS bits, round(-log10(greatest(empirical_p, 1e-300)), 6) AS minus_log_p FROM pathway_scores_standard WHERE direct IS NOT NULL AND NOT isnan(direct) AND empirical_p IS NOT NULL AND NOT isnan(empirical_p)")
+def proj14_math(spark, d):
+    rows = table(spark, d, "pathway_scores_standard").filter("direct is not null and not isnan(direct) and empirical_p is not null and not isnan(empirical_p)")
+    size = F.abs("direct")
+    return rows.select("row_id", F.round(F.sqrt(size), 9).alias("root"), F.round(F.log2(1 + size), 9).alias("bits"), F.round(-F.log10(F.greatest("empirical_p", F.lit(1e-300))), 6).alias("minus_log_p"))
+
+
 @query("""SELECT row_id, regexp_replace(name, ' gene$', '') AS symbol, array_to_string(list_sort(string_split(contributing_seeds, '|')), ';') AS seeds FROM pathway_scores_standard""")
 def proj11_formats(spark, d):
     rows = table(spark, d, "pathway_scores_standard")
@@ -296,6 +316,14 @@ def j2_end_entities(spark, d):
     return conditioning.concept_edges(graph.edges(spark, d), _typed(spark, d)).select("tbl", "row_id", "source_entity", "target_entity")
 
 
+_CODES = TYPING.replace("label IN ('concept', 'code')", "label = 'code'")
+
+
+@query(f"WITH {GRAPH}, {_CODES} SELECT node_id, entity FROM typed")
+def j4_code_entities(spark, d):
+    return conditioning.node_entities(graph.nodes(spark, d).filter("label = 'code'"), graph.rules(spark))
+
+
 @query(f"WITH {GRAPH}, {MEMBERS} SELECT pathway, gene FROM members")
 def j5_members(spark, d):
     return _members(spark, d)
@@ -309,6 +337,14 @@ def j7_symbol_lookup(spark, d):
     return patterns.lookup_symbols(symbols, graph.nodes(spark, d))
 
 
+@query(f"""WITH {GRAPH}, ids AS (SELECT name, min(node_id) AS node_id FROM g_nodes WHERE name IS NOT NULL GROUP BY 1)
+SELECT row_id, coalesce(ids.node_id, {plain_id_sql("concept_id")}) AS id FROM pathway_scores_standard s LEFT JOIN ids ON s.name = ids.name""")
+def j8_ids_by_name(spark, d):
+    ids = graph.nodes(spark, d).filter("name is not null").groupBy("name").agg(F.min("node_id").alias("node_id"))
+    rows = table(spark, d, "pathway_scores_standard").select("row_id", "name", plain_id("concept_id").alias("own"))
+    return rows.join(ids, "name", "left").select("row_id", F.coalesce("node_id", "own").alias("id"))
+
+
 @query(f"WITH {GRAPH}, {MEMBERS} SELECT pathway, count(*) AS n_seeds FROM members WHERE gene IN (SELECT node_id FROM seeds) GROUP BY 1")
 def j9_seed_overlap(spark, d):
     inside = _members(spark, d).join(graph.seeds(spark, d).withColumnRenamed("node_id", "gene"), "gene", "left_semi")
@@ -335,6 +371,11 @@ def j11_shared_pathways(spark, d):
 _COND = f"{_TYPED}, {CONDITIONED}"
 
 
+@query(f"{_TYPED} SELECT node_id, entity, count(*) AS n FROM row_entity GROUP BY 1, 2")
+def c1_row_entities(spark, d):
+    return conditioning.row_entities(graph.nodes(spark, d), graph.rules(spark)).groupBy("node_id", "entity").agg(F.count("*").alias("n"))
+
+
 @query(f"{_TYPED} SELECT node_id, entity FROM typed")
 def c2_node_entities(spark, d):
     return _typed(spark, d)
@@ -345,9 +386,9 @@ def c3_coverage(spark, d):
     return conditioning.coverage(graph.nodes(spark, d), _typed(spark, d)).withColumn("coverage", F.round("coverage", 9))
 
 
-@query(f"{_COND} SELECT tbl, row_id, bifo_flow, classification, drop_reason FROM conditioned")
+@query(f"{_COND} SELECT tbl, row_id, flow_class, classification, drop_reason FROM conditioned")
 def c5_condition_edges(spark, d):
-    return _conditioned(spark, d).select("tbl", "row_id", "bifo_flow", "classification", "drop_reason")
+    return _conditioned(spark, d).select("tbl", "row_id", "flow_class", "classification", "drop_reason")
 
 
 @query(f"WITH {GRAPH} SELECT tbl, predicate, count(*) AS n FROM g_edges WHERE predicate IS NULL OR predicate NOT IN ({', '.join(repr(x) for x in graph.NON_FLOW)}) GROUP BY 1, 2")
@@ -377,7 +418,7 @@ def c10_transitions(spark, d):
     return _moves(conditioning.kept(_conditioned(spark, d))).withColumn("p", F.round("p", 9))
 
 
-@query(f"{_COND} SELECT bifo_flow, count(*) AS n FROM kept WHERE propagating AND bifo_flow <> '' GROUP BY 1")
+@query(f"{_COND} SELECT flow_class, count(*) AS n FROM kept WHERE propagating AND flow_class <> '' GROUP BY 1")
 def c11_flow_distribution(spark, d):
     return conditioning.flow_distribution(conditioning.kept(_conditioned(spark, d)))
 
@@ -473,6 +514,13 @@ def a10_recovery(spark, d):
     return rows.withColumn("auroc", F.round("auroc", 9)).withColumn("auprc", F.round("auprc", 9))
 
 
+@query(f"""{_LABELLED}, l AS (SELECT * FROM lab WHERE node_id NOT IN (SELECT node_id FROM seeds)), r AS (SELECT *, row_number() OVER w AS k, sum(positive::INT) OVER w AS hits FROM l
+ WINDOW w AS (ORDER BY score DESC, positive DESC, node_id)) SELECT count(*) AS n, count(*) FILTER (positive) AS positives, round(avg(hits / k) FILTER (positive), 9) AS auprc FROM r""")
+def a11_seedless_auprc(spark, d):
+    rows = _labelled(spark, d).join(graph.seeds(spark, d), "node_id", "left_anti")
+    return stats.pointwise_precision(stage(rows, "labelled"), "score", F.col("positive")).withColumn("auprc", F.round("auprc", 9))
+
+
 # --- pathway scores --------------------------------------------------------------------------------------------------
 
 
@@ -644,6 +692,25 @@ def a31_reference_ranks(spark, d):
     return _refs(spark, d).join(main, "node_id", "left").fillna(9999, ["rank"])
 
 
+@query(f"""WITH {_RUNS}, w AS (SELECT run_id, row_id, row_number() OVER (PARTITION BY run_id ORDER BY direct_raw DESC NULLS LAST, row_id) AS raw_rank FROM runs),
+c AS (SELECT run_id, avg(rank) FILTER (in_chd_set) AS conditioned, avg(raw_rank) FILTER (in_chd_set) AS raw FROM ranked JOIN w USING (run_id, row_id) GROUP BY 1)
+SELECT run_id, unnest(['conditioned', 'raw']) AS arm, round(unnest([conditioned, raw]), 9) AS mean_rank FROM c""")
+def a32_control_comparison(spark, d):
+    rows = a13_recovery_by_run(spark, d).select("run_id", F.col("mean_rank").alias("conditioned"), F.col("mean_rank_raw").alias("raw"))
+    return rows.unpivot(["run_id"], ["conditioned", "raw"], "arm", "mean_rank")
+
+
+@query(f"""{_METRICS}, l AS (SELECT run_id, unnest(['ap', 'p_at_10']) AS metric, unnest([ap, p_at_10]) AS v FROM metrics)
+SELECT a.metric, round(quantile_cont(a.v, 0.05), 6) AS p5, round(median(a.v), 6) AS p50, round(quantile_cont(a.v, 0.95), 6) AS p95, any_value(b.v) AS v_primary
+FROM l a LEFT JOIN l b ON a.metric = b.metric AND b.run_id LIKE '%PRIMARY' WHERE a.run_id NOT LIKE '%PRIMARY' GROUP BY 1""")
+def a33_quantiles_and_primary(spark, d):
+    long = stage(_metrics(spark, d).unpivot(["run_id"], ["ap", "p_at_10"], "metric", "v"), "metrics")
+    main = F.col("run_id").endswith("PRIMARY")
+    q = long.filter(~main).groupBy("metric").agg(F.percentile("v", F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95))).alias("q"))
+    q = q.select("metric", *(F.round(F.col("q")[i], 6).alias(c) for i, c in enumerate(("p5", "p50", "p95"))))
+    return q.join(F.broadcast(long.filter(main).groupBy("metric").agg(F.max("v").alias("v_primary"))), "metric", "left")
+
+
 @query(f"WITH {_RUNS} SELECT run_id, row_id, rank::BIGINT AS rank, CASE WHEN isnan(null_z) THEN NULL ELSE null_z END AS null_z, id IN (SELECT node_id FROM reference_concepts WHERE role = 'pathway') AS is_reference FROM ranked WHERE id IS NOT NULL")
 def a34_rank_and_z(spark, d):
     refs = _refs(spark, d).select(F.col("node_id").alias("id"), F.lit(True).alias("is_reference"))
@@ -741,6 +808,12 @@ def a20_member_scores(spark, d):
     return rows.select("pathway", "gene", micro("score"), F.round("score_norm", 6).alias("score_norm"), F.round("z_global", 6).alias("z_global"))
 
 
+@query(f"""{_MEMBER_TABLE} SELECT round(gm * 1e6, 3) AS mean, round(gs * 1e6, 3) AS sd FROM mom""")
+def a19_gene_moments(spark, d):
+    moments = scoring.gene_moments(_cond_scores(spark, d, _kept(spark, d)), _sabs(spark, d), GENE_SABS)
+    return moments.select(micro("mean"), micro("sd"))
+
+
 _NEAR = f"""{_PPR}, {_SIZED}, ends AS (SELECT source AS pathway, target AS node_id FROM kept UNION SELECT target, source FROM kept),
 nb AS (SELECT pathway, node_id, round(score * 1e9) / 1e9 AS score FROM ends JOIN cond USING (node_id) WHERE pathway IN (SELECT pathway FROM sized)),
 ns AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM nb WINDOW w AS (PARTITION BY pathway))"""
@@ -796,14 +869,14 @@ def n2_seed_permutation_null(spark, d):
     return nulls.seed_permutation_null(_moves(kept), drawn, n, _sizes(members), PERMUTATIONS, ALPHA, STEPS)
 
 
-@query(f"{_COND} SELECT bifo_flow = 'Pathway Contribution' AS bridge, count(*) AS n FROM kept WHERE propagating GROUP BY 1")
+@query(f"{_COND} SELECT flow_class = 'Pathway Contribution' AS bridge, count(*) AS n FROM kept WHERE propagating GROUP BY 1")
 def n3_bridges(spark, d):
     bridge, rest = nulls.bridges(conditioning.kept(_conditioned(spark, d)))
     rows = bridge.select(F.lit(True).alias("bridge")).unionByName(rest.select(F.lit(False).alias("bridge")))
     return rows.groupBy("bridge").agg(F.count("*").alias("n"))
 
 
-@query(f"""{_COND}, b AS (SELECT DISTINCT source, target FROM kept WHERE propagating AND bifo_flow = 'Pathway Contribution')
+@query(f"""{_COND}, b AS (SELECT DISTINCT source, target FROM kept WHERE propagating AND flow_class = 'Pathway Contribution')
 SELECT 'out' AS side, source AS node_id, count(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'in', target, count(*) FROM b GROUP BY 2""")
 def n4_rewired_degrees(spark, d):
     """Degrees after rewiring: the oracle has those before it."""
@@ -820,7 +893,7 @@ def n5_rewiring_null(spark, d):
     return nulls.rewiring_null(kept, restarts, _sizes(_sized(spark, d)), REWIRINGS, ALPHA, STEPS)
 
 
-_STRATA = f"""{_COND}, {MEMBERS}, gs AS (SELECT DISTINCT gene FROM members), dg AS (SELECT source, count(*) AS d, greatest(count(*) FILTER (bifo_flow = 'Pathway Contribution'), 1) AS m FROM kept WHERE propagating GROUP BY 1),
+_STRATA = f"""{_COND}, {MEMBERS}, gs AS (SELECT DISTINCT gene FROM members), dg AS (SELECT source, count(*) AS d, greatest(count(*) FILTER (flow_class = 'Pathway Contribution'), 1) AS m FROM kept WHERE propagating GROUP BY 1),
 lg AS (SELECT gene, log10(coalesce(d, 1)) AS d, log10(coalesce(m, 1)) AS m FROM gs LEFT JOIN dg ON gene = source),
 cu AS (SELECT quantile_cont(d, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS dc, quantile_cont(m, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS mc FROM lg)"""
 

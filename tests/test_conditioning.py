@@ -36,6 +36,18 @@ def test_entities(spark, rules):
     assert got == {"g": "G", "w": "PW", "HP:1": "PH", "Hx": "X", "q": None, "ENSEMBL:ENSP1": "P", "ENSEMBL:ENST1": "RNA", "ENSEMBL:ENSG1": "G", "i": None}
 
 
+def test_go_terms(spark, rules):
+    cases = [
+        ("biological_process", "x", "PW"), ("molecular function of y", "x", "PW"), ("cellular_component", "a complex", "CM"), ("cellular_component", "x", "S"), ("go_process", "x", "PW"),
+        ("complex", "x", "CM"), ("cc", "x", "S"), ("odd", "membrane", None), ("", "Protein Complex", "CM"), (None, "outer membrane", "S"), (None, "x", None), (None, None, None),
+    ]
+    df = spark.createDataFrame([c_[:2] for c_ in cases], "ns string, name string")
+    assert [r[0] for r in df.select(c.go_entity(F.col("ns"), F.col("name"))).collect()] == [x[2] for x in cases]
+    nodes = spark.createDataFrame([(1, "GO:1", "Concept", "", "MSIGDB"), (2, "GO:2", "Concept", "", "MSIGDB")], NODES)
+    ontology = spark.createDataFrame([("GO:1", "complex")], "accession string, namespace string")
+    assert {r["node_id"]: r["entity"] for r in c.row_entities(nodes, rules, ontology).collect()} == {"GO:1": "CM", "GO:2": "PW"}
+
+
 def conditioned(spark, rules, edges):
     nodes = [(1, "g", "Concept", "", "HGNC"), (2, "p", "Concept", "", "UNIPROTKB"), (3, "w", "Concept", "", "MSIGDB"), (4, "u", "Concept", "", "ZZ")]
     entities = c.node_entities(spark.createDataFrame(nodes, NODES), rules)
@@ -60,7 +72,7 @@ def test_precedence(spark, rules):
         ("g", "p", None, None, "unmapped", False),
         ("g", "elsewhere", "acts", "gone", "gone", False),
     ]
-    got = {(r["source"], r["target"], r["predicate"]): (r["bifo_flow"], r["drop_reason"], r["propagating"]) for r in conditioned(spark, rules, [x[:3] for x in cases]).collect()}
+    got = {(r["source"], r["target"], r["predicate"]): (r["flow_class"], r["drop_reason"], r["propagating"]) for r in conditioned(spark, rules, [x[:3] for x in cases]).collect()}
     assert got == {x[:3]: x[3:] for x in cases if x[3] != "gone"}
 
 

@@ -73,7 +73,7 @@ class Encoder:
         rows = pa.table({"w": np.repeat(np.arange(len(words)), size), "pos": np.arange(len(tok)) - first, "tok": tok})
         self.con.register("letters", rows)
         if size.max() <= LONG_WORD:
-            out = self.con.execute(SHORT_WORDS).to_arrow_table()
+            out = self.con.sql(SHORT_WORDS).to_arrow_table()
         else:
             self.con.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT * FROM letters")
             count, left = -1, len(tok)
@@ -82,7 +82,7 @@ class Encoder:
                 self.con.execute(LONG_ROUND)
                 self.con.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT * FROM next_state")
                 left = self.con.execute("SELECT count(*) FROM state").fetchall()[0][0]
-            out = self.con.execute("SELECT w, list(tok ORDER BY pos) AS ids FROM state GROUP BY w ORDER BY w").to_arrow_table()
+            out = self.con.sql("SELECT w, list(tok ORDER BY pos) AS ids FROM state GROUP BY w ORDER BY w").to_arrow_table()
         self.con.unregister("letters")
         ids = out["ids"].combine_chunks()
         if isinstance(ids, pa.ChunkedArray):

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.running import running_sums
 from loomgraph.functions.scalars import by_rules, edge_weight
 from loomgraph.session import broadcast_if_small
 
@@ -158,8 +159,11 @@ def mechanistic(kept_edges: DataFrame) -> DataFrame:
 
 
 def sparsify(edges: DataFrame, n: int, key: list[str], seed: int = 1) -> DataFrame:
-    """Exactly ``n`` edges by the order of a seeded hash of their key: a sample that any engine can repeat."""
-    return edges.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    """Exactly ``n`` edges by the order of a seeded hash of their key: a sample that any engine can repeat. Places come from
+    sums over range partitions, so no task holds the sample."""
+    order = [F.asc("_h"), *(F.asc(k) for k in key)]
+    rows = edges.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in key))))
+    return running_sums(rows, order, {"_k": F.lit(1)}).filter(F.col("_k") <= n).drop("_h", "_k")
 
 
 def weighted_operator(edges: DataFrame) -> DataFrame:

@@ -401,7 +401,8 @@ def c7_mechanistic(spark, d):
     return conditioning.mechanistic(conditioning.kept(_conditioned(spark, d))).select("tbl", "row_id")
 
 
-@query()
+@query(f"""{_COND}, s AS (SELECT tbl, row_id, row_number() OVER (ORDER BY md5('1|' || tbl || '|' || row_id), tbl, row_id) AS k FROM g_edges)
+SELECT tbl, row_id FROM s WHERE k <= (SELECT count(*) FROM kept WHERE propagating)""")
 def c8_sparsified(spark, d):
     edges = graph.edges(spark, d)
     n = _conditioned(spark, d).filter("propagating").count()

@@ -9,6 +9,7 @@ Posts whose words are mostly not prose are flagged.
 from __future__ import annotations
 
 import html
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ STATES = ["prose", "link list", "tag list", "menu"]
 ROUNDS = 4
 #: Fewer words are no list, fewer lines no menu; a link counts as so many words.
 LIST_WORDS, MENU_LINES, LINK_WORDS = 5, 3, 2
+#: A sentence's end is looked for in so many last characters.
+TAIL = 200
 #: Weight of the priors against the counts of a round, at any corpus size.
 PRIOR_WEIGHT = 1.0
 
@@ -47,37 +50,45 @@ ATTRIBUTION = regex.compile(r"^[^\n]{1,100}:[ \t]*\n(?=\s*(?:>|&gt;))", regex.M)
 QUOTED_LINE = regex.compile(r"^[ \t]*(?:>|&gt;).*$", regex.M)
 SIGNATURE = regex.compile(r"\n(?:--[ \t]*|_{3,}[ \t]*)(?:\n[^\n]*){0,4}\s*\Z|\n~~[^\n]*(?:\n[^\n]*)?~~\s*\Z")
 TOP = "example|test|invalid|com|net|org|info|biz|io|de|fr|es|ru|cn|uk|eu"
-URL = regex.compile(
+URL = re.compile(
     rf"(?:h(?:tt|xx)ps?://|www(?:\.| dot ))[\w-]+(?:(?:\.| dot )[\w-]+)*(?:/[^\s\[\]<>|\"]*)?(?: dot \w+\?[^\s\[\]<>|\"]*)?"
     rf"|\b[\w-]+(?:(?:\.| dot )[\w-]+)*(?:\.| dot )(?:{TOP})\b(?:/[^\s\[\]<>|\"]*)?(?: dot \w+\?[^\s\[\]<>|\"]*)?",
-    regex.I,
+    re.I,
 )
 ANCHORED = regex.compile(r"\[url=([^\]]*)\](.*?)\[/url\]|<a\s[^>]*>(.*?)</a>|\[([^\[\]\n]{1,200})\]\((?=\S)([^()\s]+)\)", regex.I | regex.S)
 IMAGE = regex.compile(r"\[(img|url)\](.*?)\[/\1\]", regex.I | regex.S)
 BREAK_TAG = regex.compile(r"</?(?:p|div|br|li|ul|ol|h\d|tr|td|table)\b[^>]*>|\[/?(?:list|\*)\]", regex.I)
 ANY_TAG = regex.compile(r"<[^<>\n]{1,300}>|\[/?[a-z*]{1,10}(?:=[^\]\n]*)?\]", regex.I)
-SENTENCE = regex.compile(r"(?<=[.!?…][\"')\]»”]{0,2})[ \t]+(?=[^\s\d])|(?<=[。！？])(?=.)")
+SENTENCE = re.compile(r"([.!?…][\"')\]»”]{0,2})[ \t]+(?=[^\s\d])|([。！？])(?=.)")
+LINK_SIGN = re.compile(rf"://|www| dot |\.(?:{TOP})\b", re.I)
 WORD = regex.compile(r"[\x01]|[\x02]?[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*")
 HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
-SEPARATOR = regex.compile(r"[,;|•·/#*\t、，；]|[  ][-–—][  ]|[^\s.!?…:,;][  ]{2,}(?=\S)")
-ENDING = regex.compile(r"[.!?…。！？][\"')\]»”*_]*[\s\W\x01]*\Z")
+SEPARATOR = re.compile(r"[,;|•·/#*\t、，；]|[  ][-–—][  ]|[^\s.!?…:,;][  ]{2,}(?=\S)")
+ENDING = re.compile(r"[.!?…。！？][\"')\]»”*_]*[\s\W\x01]*\Z")
 MARK = regex.compile(r"[$€£¥₽]\s?\d|\d+\s?[$€£¥₽]|\b(?:SKU|Art|ref|mod|No)\b\.?\s?\d+|\d{2,}|\d+x\b|#\w", regex.I)
 
 
 def own_text(text: str) -> str:
     """A post without quoted text, code blocks and signature; line ends are newlines."""
-    text = regex.sub(r"\r*\n|\r+", "\n", text)
-    kept, depth, at = [], 0, 0
-    for tag in QUOTE_TAG.finditer(text):
+    if "\r" in text:
+        text = regex.sub(r"\r*\n|\r+", "\n", text)
+    marked = "[" in text or "<" in text
+    if marked:
+        kept, depth, at = [], 0, 0
+        for tag in QUOTE_TAG.finditer(text):
+            if depth == 0:
+                kept.append(text[at : tag.start()])
+            depth = max(0, depth + (-1 if "/" in tag.group()[:2] else 1))
+            at = tag.end()
         if depth == 0:
-            kept.append(text[at : tag.start()])
-        depth = max(0, depth + (-1 if "/" in tag.group()[:2] else 1))
-        at = tag.end()
-    if depth == 0:
-        kept.append(text[at:])
-    text = QUOTED_LINE.sub("", ATTRIBUTION.sub("", "\n".join(kept)))
-    text = CODE.sub("\n", text)
-    return SIGNATURE.sub("\n", "\n" + text.rstrip())
+            kept.append(text[at:])
+        text = "\n".join(kept)
+    if ">" in text or "&gt;" in text:
+        text = QUOTED_LINE.sub("", ATTRIBUTION.sub("", text))
+    if marked:
+        text = CODE.sub("\n", text)
+    text = "\n" + text.rstrip()
+    return SIGNATURE.sub("\n", text) if "\n--" in text or "\n__" in text or "\n~~" in text else text
 
 
 def _anchor(m: regex.Match) -> str:
@@ -87,23 +98,28 @@ def _anchor(m: regex.Match) -> str:
 
 def units(text: str) -> list[str]:
     """Lines and sentences of a post's own text, links masked."""
-    text = ANCHORED.sub(_anchor, own_text(text))
-    text = IMAGE.sub(" " + LINK_MARK + " ", text)
-    text = html.unescape(ANY_TAG.sub("", BREAK_TAG.sub("\n", text)))
-    text = URL.sub(LINK_MARK, text)
-    return [u for line in text.split("\n") if line.strip() for u in SENTENCE.split(line) if u.strip()]
+    text = own_text(text)
+    if "[" in text or "<" in text:
+        text = ANCHORED.sub(_anchor, text)
+        text = IMAGE.sub(" " + LINK_MARK + " ", text)
+        text = ANY_TAG.sub("", BREAK_TAG.sub("\n", text))
+    if "&" in text:
+        text = html.unescape(text)
+    if LINK_SIGN.search(text):
+        text = URL.sub(LINK_MARK, text)
+    return [u for u in SENTENCE.sub(r"\1\2\n", text).split("\n") if u.strip()]
 
 
 def observe(unit: str) -> tuple[int, int]:
     """(observation, words) of a unit; the observation packs the bins of the five features."""
     words = WORD.findall(unit)
-    han = len(HAN.findall(unit))
+    han = 0 if unit.isascii() else len(HAN.findall(unit))
     n = max(1, len(words) + han // 2)
     links = sum(w[0] in (LINK_MARK, ANCHOR) for w in words)
     plain = [w.lower() for w in words if w[0] not in (LINK_MARK, ANCHOR)]
     length = n - links
     size = 0 if length <= 5 else 1 if length <= 12 else 2 if length <= 25 else 3
-    ended = bool(ENDING.search(unit)) and length >= 2
+    ended = bool(ENDING.search(unit, max(0, len(unit) - TAIL))) and length >= 2
     end = (4 if length <= 60 else 5) if ended else size
     share = links / n
     link = 0 if not links else 1 if share < 0.2 else 2 if share < 0.6 else 3

@@ -41,6 +41,16 @@ def safe_bool(c: Column) -> Column:
     return F.lower(F.trim(c)).isin("true", "1", "yes")
 
 
+def seeded_hash(seed: int, *columns: Column | str) -> Column:
+    """Integer from 0 to 2^60 - 1 by md5 of the seed and the columns' texts: the same in any engine."""
+    parts = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *(c.cast("string") for c in parts))), 1, 15), 16, 10).cast("long")
+
+
+def seeded_hash_sql(seed: int, *columns: str) -> str:
+    return f"""('0x' || substr(md5('{seed}'{"".join(f" || '|' || {c}" for c in columns)}), 1, 15))::BIGINT"""
+
+
 def edge_weight(confidence: Column, value: Column, evidence: Column) -> Column:
     """Confidence, else value, else the tier of evidence, else a default."""
     tier = reduce(lambda w, kv: w.when(F.lower(F.trim(evidence)) == kv[0], kv[1]), EVIDENCE_WEIGHT.items(), F.when(F.lit(False), F.lit(None).cast("double")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scalars import seeded_hash
 from loomgraph.operators.conditioning import row_normalized, unit_operator
 from loomgraph.operators.propagate import pagerank_vectors
 from loomgraph.session import numbered, stage
@@ -25,8 +26,8 @@ def draws(universe: DataFrame, n: int, permutations: int, seed: int = 42) -> Dat
     """
     total = universe.count()
     share = min(1.0, (4 * n + 64) / max(1, total))
-    rows = universe.select("node_id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")).withColumn("_h", F.xxhash64(F.lit(seed), "perm", "node_id"))
-    rows = rows.filter(F.col("_h") <= min((1 << 63) - 1, int(-(1 << 63) + share * (1 << 64))))
+    rows = universe.select("node_id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")).withColumn("_h", seeded_hash(seed, "perm", "node_id"))
+    rows = rows.filter(F.col("_h") <= int(share * (1 << 60)))
     w = Window.partitionBy("perm").orderBy("_h", "node_id")
     return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).select("perm", "node_id")
 
@@ -109,12 +110,12 @@ def member_mean_null(members: DataFrame, strata: DataFrame, scores: DataFrame, p
     Genes of a stratum are numbered in a seeded random order; a pathway with m members there takes m neighbours of that
     ring from a random place. Draws are joins on (stratum, number), never lists.
     """
-    order = numbered(strata.withColumn("_h", F.xxhash64(F.lit(seed), "gene")).sort("stratum", "_h", "gene"), "i", "strata")
+    order = numbered(strata.withColumn("_h", seeded_hash(seed, "gene")).sort("stratum", "_h", "gene"), "i", "strata")
     order = stage(order.join(scores.withColumnRenamed("node_id", "gene"), "gene", "left").fillna(0.0, ["score"]), "strata")
     spans = F.broadcast(order.groupBy("stratum").agg(F.min("i").alias("first"), F.count("*").alias("size")))  # bins x bins rows
     ring = order.join(spans, "stratum").select("stratum", (F.col("i") - F.col("first")).alias("at"), "score")
     rows = members.join(strata, "gene").withColumn("_k", F.row_number().over(Window.partitionBy("pathway", "stratum").orderBy("gene")) - 1)
     rows = rows.join(spans, "stratum").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    place = F.pmod(F.xxhash64(F.lit(seed), "perm", "pathway", "stratum"), F.col("size")) + F.col("_k")
+    place = F.pmod(seeded_hash(seed, "perm", "pathway", "stratum"), F.col("size")) + F.col("_k")
     rows = rows.select("perm", "pathway", "stratum", F.pmod(place, F.col("size")).alias("at"))
     return rows.join(ring, ["stratum", "at"]).groupBy("perm", "pathway").agg(F.avg("score").alias("null"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.functions.scalars import seeded_hash
 from loomgraph.functions.stats import ranked, ranking_metrics
 from loomgraph.operators.propagate import pagerank_vectors
 
@@ -35,7 +36,7 @@ def split_rankings(sets: DataFrame, pathways: DataFrame, by_seed: DataFrame) ->
     rows = rows.join(F.broadcast(sets))
     total = F.aggregate("seeds", F.lit(0.0), lambda a, i: a + F.coalesce(F.get("by_seed", i), F.lit(0.0)))
     rows = rows.select("split", "pathway", "in_set", (total / F.size("seeds") / F.sqrt("size")).alias("score"))
-    return ranked(rows.withColumn("score", F.round(F.col("score") * 1e12, 0)), ["split"], [F.desc("score"), F.asc("pathway")])
+    return ranked(rows.withColumn("score", F.round(F.col("score") * 1e9, 0)), ["split"], [F.desc("score"), F.asc("pathway")])
 
 
 def split_metrics(rankings: DataFrame, ks: tuple[int, ...] = (10, 20)) -> DataFrame:
@@ -47,7 +48,7 @@ def bootstrap(spark: SparkSession, pool: int, sizes: list[int], draws: int, seed
     every run. ``pool`` positions are a short list."""
     rows = spark.range(draws * len(sizes)).withColumnRenamed("id", "split")
     size = F.element_at(F.array(*(F.lit(s) for s in sizes)), (F.col("split") % len(sizes) + 1).cast("int"))
-    keyed = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(pool - 1)), lambda i: F.struct(F.xxhash64(F.lit(seed), F.col("split"), i).alias("h"), i.alias("i"))))
+    keyed = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(pool - 1)), lambda i: F.struct(seeded_hash(seed, F.col("split"), i).alias("h"), i.alias("i"))))
     return rows.withColumn("seed_size", size).withColumn("seeds", F.transform(F.slice(keyed, F.lit(1), F.col("seed_size")), lambda x: x["i"]))
 
 

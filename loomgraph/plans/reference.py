@@ -732,12 +732,13 @@ def a14_degree_overlap(spark, d):
     return enrich.degree_overlap(_sized(spark, d), graph.seeds(spark, d), degrees).withColumn("stat", F.round("stat", 6))
 
 
-def _fisher_sql(query_set: str, population: str = "(SELECT count(*) FROM u)") -> str:
+def _fisher_sql(query_set: str, digits: int | None = 9) -> str:
     choose = lambda n, r: f"(lgamma({n} + 1.0) - lgamma({r} + 1.0) - lgamma({n} - {r} + 1.0))"
+    term_ = f"exp({choose('marked', 'i')} + {choose('(population - marked)', '(drawn - i)')} - {choose('population', 'drawn')})"
+    tail = f"least(1, list_sum(list_transform(range(greatest(k, marked + drawn - population, 0), least(marked, drawn) + 1), lambda i: {term_})))"
     return f"""f AS (SELECT pathway, count(*) FILTER (gene IN (SELECT node_id FROM {query_set}) AND gene IN (SELECT node_id FROM u)) AS k, count(*) FILTER (gene IN (SELECT node_id FROM u)) AS marked,
- (SELECT count(*) FROM {query_set} WHERE node_id IN (SELECT node_id FROM u)) AS drawn, {population} AS population FROM sized GROUP BY 1)
-SELECT pathway, k, marked, drawn, population, CASE WHEN k = 0 THEN 1 ELSE round(least(1, list_sum(list_transform(range(greatest(k, marked + drawn - population, 0), least(marked, drawn) + 1),
- lambda i: exp({choose("marked", "i")} + {choose("(population - marked)", "(drawn - i)")} - {choose("population", "drawn")})))), 9) END AS p FROM f"""
+ (SELECT count(*) FROM {query_set} WHERE node_id IN (SELECT node_id FROM u)) AS drawn, (SELECT count(*) FROM u) AS population FROM sized GROUP BY 1)
+SELECT pathway, k, marked, drawn, population, CASE WHEN k = 0 THEN 1 ELSE {f"round({tail}, {digits})" if digits else tail} END AS p FROM f"""
 
 
 @query(f"WITH {GRAPH}, {_SIZED}, {_UNIVERSE}, qs AS (SELECT DISTINCT node_id FROM seeds), {_fisher_sql('qs')}")
@@ -776,22 +777,33 @@ def a17_preranked(spark, d):
     return enrich.preranked(_sized(spark, d), scores, genes.select("node_id")).select("pathway", "hits", F.round("es", 6).alias("es"))
 
 
-@query()
+_BASELINES = f"""{_GSEA}, {_UNIVERSE}, deg AS (SELECT source AS node_id, count(*) AS degree FROM kept GROUP BY 1), qs AS (SELECT DISTINCT node_id FROM seeds),
+qn AS (SELECT node_id FROM seeds UNION SELECT target FROM g_edges WHERE source IN (SELECT node_id FROM seeds) UNION SELECT source FROM g_edges WHERE target IN (SELECT node_id FROM seeds)),
+b0 AS (SELECT pathway, sum(CASE WHEN gene IN (SELECT node_id FROM seeds) THEN coalesce(degree, 1) ELSE 0 END) / sqrt(count(*)) AS stat FROM sized LEFT JOIN deg ON gene = deg.node_id GROUP BY 1),
+b1 AS (WITH {_fisher_sql("qs", None)}),
+b2 AS (WITH {_fisher_sql("qn", None)}),
+u4 AS (SELECT 'degree_overlap' AS method, pathway, stat FROM b0 UNION ALL SELECT 'seed_fisher', pathway, -log10(greatest(p, 1e-300)) FROM b1
+ UNION ALL SELECT 'neighbourhood_fisher', pathway, -log10(greatest(p, 1e-300)) FROM b2 UNION ALL SELECT 'preranked', pathway, es FROM gsea)
+SELECT method, pathway, round(stat, 6) + 0.0 AS stat, (row_number() OVER (PARTITION BY method ORDER BY round(stat, 6) DESC, pathway))::INTEGER AS rank FROM u4"""
+
+
+@query(_BASELINES)
 def a18_baselines(spark, d):
     """Every baseline on one universe of pathways, with rank: a long table of methods."""
     members, edges, seeds = stage(_sized(spark, d), "members"), graph.edges(spark, d), graph.seeds(spark, d)
     kept = _kept(spark, d)
     universe = stage(enrich.gene_universe(edges), "universe")
-    overlap = enrich.degree_overlap(members, seeds, propagate.out_degree(kept)).select("pathway", F.col("stat").alias("stat"))
-    seed = enrich.fisher(members, seeds, universe).select("pathway", (-F.log10(F.greatest("p", F.lit(1e-300)))).alias("stat"))
-    near = enrich.fisher(members, enrich.neighbourhood(seeds, edges), universe).select("pathway", (-F.log10(F.greatest("p", F.lit(1e-300)))).alias("stat"))
-    scores = _cond_scores(spark, d, kept)
+    overlap = enrich.degree_overlap(members, seeds, propagate.out_degree(kept)).select("pathway", "stat")
+    log_p = -F.log10(F.greatest("p", F.lit(1e-300)))
+    seed = enrich.fisher(members, seeds, universe).select("pathway", log_p.alias("stat"))
+    near = enrich.fisher(members, enrich.neighbourhood(seeds, edges), universe).select("pathway", log_p.alias("stat"))
+    scores = _cond_scores(spark, d, kept).withColumn("score", F.round(F.col("score") * 1e9, 0) / 1e9)
     gsea = enrich.preranked(members, scores, scores.filter(membership.is_gene(F.col("node_id"))).select("node_id")).select("pathway", F.col("es").alias("stat"))
     out = None
     for name, part in (("degree_overlap", overlap), ("seed_fisher", seed), ("neighbourhood_fisher", near), ("preranked", gsea)):
         part = part.withColumn("method", F.lit(name))
         out = part if out is None else out.unionByName(part)
-    out = out.withColumn("stat", F.round("stat", 9))
+    out = out.withColumn("stat", F.round("stat", 6) + F.lit(0.0))
     return stats.ranked(out, ["method"], [F.desc("stat"), F.asc("pathway")])
 
 
@@ -861,13 +873,24 @@ def _sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("pathway").agg(F.count("*").alias("member_gene_count"))
 
 
-@query()
+_PERMS = f"SELECT unnest(range({PERMUTATIONS})) AS perm"
+
+
+@query(f"""{_MOVES}, {_SIZED}, uni AS (SELECT DISTINCT gene AS node_id FROM sized WHERE gene IN (SELECT node_id FROM cond_nodes)),
+drawn AS (SELECT perm, node_id FROM (SELECT perm, node_id, row_number() OVER (PARTITION BY perm ORDER BY {scalars.seeded_hash_sql(42, "perm", "node_id")}, node_id) AS k FROM uni, ({_PERMS})) WHERE k <= (SELECT count(*) FROM seeds)),
+steps AS (SELECT 0 AS i, perm, node_id, 1.0::DOUBLE / (SELECT count(*) FROM seeds) AS score FROM drawn UNION ALL SELECT i + 1, perm, node_id, sum(v) FROM (
+ SELECT f.i, f.perm, t.dst AS node_id, {1 - ALPHA} * t.p * f.score AS v FROM steps f JOIN t ON f.node_id = t.src WHERE f.i < {STEPS}
+ UNION ALL SELECT k.i, p.perm, p.node_id, {ALPHA} / (SELECT count(*) FROM seeds) FROM (SELECT DISTINCT i FROM steps WHERE i < {STEPS}) k, drawn p) GROUP BY i, perm, node_id),
+fin AS (SELECT perm, node_id, score / sum(score) OVER (PARTITION BY perm) AS score FROM steps WHERE i = {STEPS})
+SELECT q.perm::INTEGER AS perm, w.pathway, round(coalesce(f.score, 0) / sqrt(w.m) * 1e6, 3) AS "null" FROM (SELECT pathway, count(*) AS m FROM sized GROUP BY 1) w CROSS JOIN ({_PERMS}) q
+LEFT JOIN fin f ON f.perm = q.perm AND f.node_id = w.pathway""")
 def n2_seed_permutation_null(spark, d):
     kept = _kept(spark, d)
     members = stage(_sized(spark, d), "members")
     n = graph.seeds(spark, d).count()
     drawn = nulls.draws(nulls.seed_universe(members, _ends(kept.filter("propagating"))), n, PERMUTATIONS)
-    return nulls.seed_permutation_null(_moves(kept), drawn, n, _sizes(members), PERMUTATIONS, ALPHA, STEPS)
+    rows = nulls.seed_permutation_null(_moves(kept), drawn, n, _sizes(members), PERMUTATIONS, ALPHA, STEPS)
+    return rows.select("perm", "pathway", micro("null"))
 
 
 @query(f"{_COND} SELECT flow_class = 'Pathway Contribution' AS bridge, count(*) AS n FROM kept WHERE propagating GROUP BY 1")
@@ -904,12 +927,23 @@ def n6_gene_strata(spark, d):
     return nulls.gene_strata(_members(spark, d).select("gene").distinct(), conditioning.kept(_conditioned(spark, d)))
 
 
-@query()
+@query(f"""{_STRATA.replace("WITH", "WITH RECURSIVE", 1)}, prop AS (SELECT * FROM kept WHERE propagating), cond_nodes AS (SELECT source AS node_id FROM prop UNION SELECT target FROM prop),
+{transitions_sql("t", "propagating")}, {pagerank_sql("cond", "t", "cond_nodes", STEPS, ALPHA)},
+sized AS (SELECT * FROM members WHERE pathway IN (SELECT pathway FROM members GROUP BY 1 HAVING count(*) BETWEEN {LEAST_MEMBERS} AND {MOST_MEMBERS})),
+lg2 AS (SELECT * FROM lg WHERE gene IN (SELECT gene FROM sized)),
+cu2 AS (SELECT quantile_cont(d, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS dc, quantile_cont(m, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS mc FROM lg2),
+st AS (SELECT gene, 'd' || len(list_filter(dc, lambda x: x <= d)) || '_m' || len(list_filter(mc, lambda x: x <= m)) AS stratum FROM lg2, cu2),
+ring AS (SELECT stratum, row_number() OVER (PARTITION BY stratum ORDER BY {scalars.seeded_hash_sql(42, "st.gene")}, st.gene) - 1 AS slot, count(*) OVER (PARTITION BY stratum) AS size, coalesce(c.score, 0) AS score
+ FROM st LEFT JOIN cond c ON st.gene = c.node_id),
+pl AS (SELECT perm, pathway, stratum, row_number() OVER (PARTITION BY perm, pathway, stratum ORDER BY gene) - 1 AS k FROM sized JOIN st USING (gene), ({_PERMS})),
+dr AS (SELECT pl.*, ({scalars.seeded_hash_sql(42, "perm", "pathway", "stratum")} % s.size + k) % s.size AS slot FROM pl JOIN (SELECT DISTINCT stratum, size FROM ring) s USING (stratum))
+SELECT perm::INTEGER AS perm, pathway, round(avg(score) * 1e6, 3) AS "null" FROM dr JOIN ring USING (stratum, slot) GROUP BY 1, 2""")
 def n7_member_mean_null(spark, d):
     kept = _kept(spark, d)
     members = stage(_sized(spark, d), "members")
     strata = stage(nulls.gene_strata(members.select("gene").distinct(), kept), "strata")
-    return nulls.member_mean_null(members, strata, _cond_scores(spark, d, kept), PERMUTATIONS)
+    rows = nulls.member_mean_null(members, strata, _cond_scores(spark, d, kept), PERMUTATIONS)
+    return rows.select("perm", "pathway", micro("null"))
 
 
 def _pool(spark: SparkSession, d: str) -> DataFrame:
@@ -928,15 +962,35 @@ def _rankings(spark: SparkSession, d: str, sets: DataFrame) -> DataFrame:
     return resample.split_rankings(sets, pathways, by_seed)
 
 
-@query()
+def _split_sql(sets: str) -> str:
+    """Metrics of the sets ``chosen`` (split, position, k: seeds of the set)."""
+    return f"""{_MOVES}, {MEMBERS}, pool AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS position FROM seeds QUALIFY position < {POOL}),
+steps AS (SELECT 0 AS i, position, node_id, 1.0::DOUBLE AS score FROM pool UNION ALL SELECT i + 1, position, node_id, sum(v) FROM (
+ SELECT f.i, f.position, t.dst AS node_id, {1 - ALPHA} * t.p * f.score AS v FROM steps f JOIN t ON f.node_id = t.src WHERE f.i < {STEPS}
+ UNION ALL SELECT k.i, p.position, p.node_id, {ALPHA} FROM (SELECT DISTINCT i FROM steps WHERE i < {STEPS}) k, pool p) GROUP BY i, position, node_id),
+{sets}, pw AS (SELECT pathway, count(*) AS size, pathway IN (SELECT node_id FROM refs) AS in_set FROM members GROUP BY 1 HAVING count(*) BETWEEN {2 * LEAST_MEMBERS} AND {MOST_MEMBERS}),
+hit AS (SELECT c.split, v.node_id AS pathway, sum(v.score) AS s FROM chosen c JOIN steps v ON v.i = {STEPS} AND v.position = c.position GROUP BY 1, 2),
+sc AS (SELECT n.split, pw.pathway, in_set, round(coalesce(hit.s, 0) / n.k / sqrt(size) * 1e9) AS score FROM (SELECT split, count(*) AS k FROM chosen GROUP BY 1) n CROSS JOIN pw LEFT JOIN hit ON hit.split = n.split AND hit.pathway = pw.pathway),
+rk AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY score DESC, pathway) AS rank FROM sc), h AS (SELECT *, sum(in_set::INT) OVER (PARTITION BY split ORDER BY rank) AS hits FROM rk),
+a AS (SELECT split, count(*) AS n, count(*) FILTER (in_set) AS n_relevant, coalesce(avg(hits / rank) FILTER (in_set), 0) AS ap, avg(rank) FILTER (in_set) AS mean_rank,
+ {", ".join(f"count(*) FILTER (in_set AND rank <= {k}) AS h{k}, coalesce(sum(1 / log2(rank + 1.0)) FILTER (in_set AND rank <= {k}), 0) AS d{k}" for k in (10, 20))} FROM h GROUP BY 1)
+SELECT split, n, n_relevant, round(ap, 9) AS ap, round(mean_rank, 9) AS mean_rank, {", ".join(_metric_sql(k) for k in (10, 20))} FROM a"""
+
+
+def _rounded(metrics: DataFrame) -> DataFrame:
+    return metrics.select(*(F.round(c, 9).alias(c) if c.startswith(("ap", "mean_rank", "enrich", "ndcg")) else F.col(c) for c in metrics.columns))
+
+
+@query(_split_sql(f"chosen AS (SELECT split, position FROM (SELECT unnest(range({1 << POOL})) AS split), (SELECT unnest(range({POOL})) AS position) WHERE bit_count(split) = {CHOSEN} AND (split >> position) & 1 = 1)"))
 def n9_split_metrics(spark, d):
-    return resample.split_metrics(_rankings(spark, d, resample.splits(spark, POOL, CHOSEN)))
+    return _rounded(resample.split_metrics(_rankings(spark, d, resample.splits(spark, POOL, CHOSEN))))
 
 
-@query()
+@query(_split_sql(f"""chosen AS (SELECT split, position FROM (SELECT split, position, row_number() OVER (PARTITION BY split ORDER BY {scalars.seeded_hash_sql(42, "split", "position")}, position) AS k
+ FROM (SELECT unnest(range(500)) AS split), (SELECT unnest(range({POOL})) AS position)) WHERE k <= CASE WHEN split % 2 = 0 THEN 5 ELSE 10 END)"""))
 def n10_bootstrap_metrics(spark, d):
     sets = resample.bootstrap(spark, POOL, [5, 10], 250)
-    return resample.split_metrics(_rankings(spark, d, sets.select("split", "seeds")))
+    return _rounded(resample.split_metrics(_rankings(spark, d, sets.select("split", "seeds"))))
 
 
 @query(f"""WITH {GRAPH}, {_SIZED}, k AS (SELECT pathway, gene, row_number() OVER (PARTITION BY pathway ORDER BY md5('42|' || pathway || '|' || gene), gene) AS k, count(*) OVER (PARTITION BY pathway) AS n FROM sized)

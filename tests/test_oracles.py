@@ -47,7 +47,7 @@ def test_query_without_sql(spark, name):
 def test_nulls_are_probabilities(spark):
     for name in ("n2_seed_permutation_null", "n7_member_mean_null"):
         rows = QUERIES[name](spark, DATA).collect()
-        assert all(0 <= r["null"] <= 1 for r in rows)
+        assert all(0 <= r["null"] <= 1e6 for r in rows)  # millionths
         assert len({r["perm"] for r in rows}) == reference.PERMUTATIONS
 
 

@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import seeded_hash
+from loomgraph.operators import many
 from loomgraph.operators.conditioning import row_normalized, unit_operator
 from loomgraph.operators.propagate import pagerank_vectors
-from loomgraph.session import numbered, stage
+from loomgraph.session import BROADCAST_BYTES, numbered, stage
 
 #: Edges of a bucket in which swap partners are found.
 SWAP_BUCKET = 1024
+#: Vectors of one propagation by joins; batches of more permutations are written one after another.
+BATCH = 50
 
 
 def seed_universe(members: DataFrame, graph_nodes: DataFrame) -> DataFrame:
@@ -33,16 +36,58 @@ def draws(universe: DataFrame, n: int, permutations: int, seed: int = 42) -> Dat
 
 
 def seed_permutation_null(transitions: DataFrame, drawn: DataFrame, n: int, pathways: DataFrame, permutations: int, alpha: float, iterations: int) -> DataFrame:
-    """(perm, pathway, null): degree-normalised scores after propagation from drawn seeds; all permutations of a call run
-    as columns of one propagation. ``pathways`` (pathway, member_gene_count)."""
-    names = [f"v{i}" for i in range(permutations)]
-    restarts = drawn.groupBy("node_id").agg(*(F.sum(F.when(F.col("perm") == i, 1.0 / n).otherwise(0.0)).alias(v) for i, v in enumerate(names)))
+    """(perm, pathway, null): degree-normalised scores after propagation from drawn seeds. ``pathways`` (pathway,
+    member_gene_count). Tasks run whole permutations if the graph fits them (``many``); else batches of permutations run as
+    columns of one propagation each and are written."""
+    transitions, drawn = stage(transitions, "transitions"), stage(drawn, "drawn")
+    if transitions.count() <= many.GRAPH_EDGES:
+        return _seed_null_in_tasks(transitions, drawn, n, pathways, permutations, alpha, iterations)
+    out = None
+    for first in range(0, permutations, BATCH):
+        part = _seed_null_batch(transitions, drawn, n, pathways, range(first, min(first + BATCH, permutations)), alpha, iterations)
+        if permutations > BATCH:
+            part = stage(part, "nulls")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _seed_null_batch(transitions: DataFrame, drawn: DataFrame, n: int, pathways: DataFrame, perms: range, alpha: float, iterations: int) -> DataFrame:
+    names = [f"v{i}" for i in perms]
+    mine = drawn.filter(F.col("perm").between(perms[0], perms[-1]))
+    restarts = mine.groupBy("node_id").agg(*(F.sum(F.when(F.col("perm") == i, 1.0 / n).otherwise(0.0)).alias(v) for i, v in zip(perms, names)))
     scores = pagerank_vectors(transitions, restarts, names, alpha, iterations)
     totals = scores.agg(*(F.sum(v).alias(f"t_{v}") for v in names))
     rows = pathways.join(scores.withColumnRenamed("node_id", "pathway"), "pathway", "left").fillna(0.0, names).join(F.broadcast(totals))
     values = F.array(*(F.when(F.col(f"t_{v}") > 0, F.col(v) / F.col(f"t_{v}")).otherwise(0.0) for v in names))
     rows = rows.select("pathway", "member_gene_count", F.posexplode(values).alias("perm", "direct"))
-    return rows.select("perm", "pathway", (F.col("direct") / F.sqrt(F.greatest("member_gene_count", F.lit(1)))).alias("null"))
+    null = F.col("direct") / F.sqrt(F.greatest("member_gene_count", F.lit(1)))
+    return rows.select((F.col("perm") + perms[0]).alias("perm"), "pathway", null.alias("null"))
+
+
+def _per_root(pathways: DataFrame) -> DataFrame:
+    return stage(pathways.withColumn("scale", 1 / F.sqrt(F.greatest("member_gene_count", F.lit(1)))), "sizes")
+
+
+def _seed_null_in_tasks(transitions: DataFrame, drawn: DataFrame, n: int, pathways: DataFrame, permutations: int, alpha: float, iterations: int) -> DataFrame:
+    pathways = _per_root(pathways)
+    ids = many.number_nodes(transitions.select("src"), transitions.select("dst"), pathways.select("pathway"), drawn.select("node_id"))
+    nodes = ids.count()
+    tables = [many.rows(transitions, ids, many.LINK, "src", "dst", "p"), many.rows(pathways, ids, many.PATHWAY, "pathway", w="scale"), many.rows(drawn, ids, many.START, "node_id", "perm")]
+
+    def work(parts, first, tasks):
+        import numpy as np
+
+        source, target, share = parts[many.LINK]
+        order = np.argsort(target)  # sums of neighbouring targets stay in the cache
+        source, target, share = source[order], target[order], share[order]
+        at, _, scale = parts[many.PATHWAY]
+        seeds, perm, _ = parts[many.START]
+        for p in range(first, permutations, tasks):
+            start = np.zeros(nodes)
+            start[seeds[perm == p]] = 1.0 / n
+            yield p, at, many.propagated(source, target, share, start, alpha, iterations)[at] * scale
+
+    return many.run(tables, ids, work, permutations)
 
 
 def bridges(kept_edges: DataFrame, flow: str = "Pathway Contribution") -> tuple[DataFrame, DataFrame]:
@@ -77,8 +122,13 @@ def rewire(edges: DataFrame, rounds: int = 10, seed: int = 42) -> DataFrame:
 
 def rewiring_null(kept_edges: DataFrame, restarts: DataFrame, pathways: DataFrame, permutations: int, alpha: float, iterations: int, rounds: int = 10, seed: int = 42) -> DataFrame:
     """(perm, pathway, null): degree-normalised scores after the edges into pathways were rewired. Every permutation has its
-    own operator, so each is a propagation of its own."""
+    own operator, so each is a propagation of its own: in tasks if the graph fits them (``many``; exchanges by the same rule,
+    other random numbers), else one after another, written."""
     bridge, rest = bridges(kept_edges)
+    bridge = stage(bridge.select("source", "target").distinct(), "bridge")
+    fixed = stage(unit_operator(rest), "rest")
+    if fixed.count() + bridge.count() <= many.GRAPH_EDGES:
+        return _rewiring_null_in_tasks(bridge, fixed, restarts, pathways, permutations, alpha, iterations, rounds, seed)
     out = None
     for i in range(permutations):
         moved = rest.select("source", "target").unionByName(rewire(bridge, rounds, seed + i))
@@ -86,10 +136,39 @@ def rewiring_null(kept_edges: DataFrame, restarts: DataFrame, pathways: DataFram
         total = scores.agg(F.sum("score").alias("_t"))
         rows = pathways.join(scores.withColumnRenamed("node_id", "pathway"), "pathway", "left").fillna(0.0, ["score"]).join(F.broadcast(total))
         part = rows.select(F.lit(i).alias("perm"), "pathway", (F.col("score") / F.col("_t") / F.sqrt(F.greatest("member_gene_count", F.lit(1)))).alias("null"))
+        part = stage(part, "nulls")
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def _rewiring_null_in_tasks(bridge: DataFrame, fixed: DataFrame, restarts: DataFrame, pathways: DataFrame, permutations: int, alpha: float, iterations: int, rounds: int, seed: int) -> DataFrame:
+    pathways, restarts = _per_root(pathways), stage(restarts, "restarts")
+    links = fixed.withColumn("bridge", F.lit(False)).unionByName(bridge.select(F.col("source").alias("src"), F.col("target").alias("dst"), F.lit(1.0).alias("w"), F.lit(True).alias("bridge")))
+    out = links.groupBy("src").agg(F.sum("w").alias("_total"))  # exchanges of targets leave it as it is
+    links = stage(links.join(out, "src").select("src", "dst", (F.col("w") / F.col("_total")).alias("p"), "bridge"), "links")
+    ids = many.number_nodes(links.select("src"), links.select("dst"), pathways.select("pathway"), restarts.select("node_id"))
+    nodes = ids.count()
+    tables = [many.rows(links.filter(F.col("bridge") == b), ids, kind, "src", "dst", "p") for b, kind in ((False, many.LINK), (True, many.BRIDGE))]
+    tables += [many.rows(pathways, ids, many.PATHWAY, "pathway", w="scale"), many.rows(restarts, ids, many.START, "node_id", w="score")]
+
+    def work(parts, first, tasks):
+        import numpy as np
+
+        (source, target, share), (b_source, b_target, b_share) = parts[many.LINK], parts[many.BRIDGE]
+        order = np.lexsort((b_target, b_source))  # so that draws do not depend on the order of arrival
+        b_source, b_target, b_share = b_source[order], b_target[order], b_share[order]
+        source, share = np.concatenate([source, b_source]), np.concatenate([share, b_share])
+        at, _, scale = parts[many.PATHWAY]
+        seeds, _, mass = parts[many.START]
+        start = np.zeros(nodes)
+        start[seeds] = mass
+        for p in range(first, permutations, tasks):
+            moved = many.exchanged(b_source, b_target, nodes, rounds, np.random.default_rng([seed, p]))
+            yield p, at, many.propagated(source, np.concatenate([target, moved]), share, start, alpha, iterations)[at] * scale
+
+    return many.run(tables, ids, work, permutations)
+
+
 def gene_strata(genes: DataFrame, kept_edges: DataFrame, bins: int = 10) -> DataFrame:
     """(gene, stratum): bins of the logarithms of out-degree and of memberships among propagating edges (1 if there are
     none), edges of the bins being exact percentiles; a value on an edge belongs to the bin above."""
@@ -108,14 +187,32 @@ def member_mean_null(members: DataFrame, strata: DataFrame, scores: DataFrame, p
     """(perm, pathway, null): mean score of genes drawn from the strata of a pathway's members, none twice in a pathway.
 
     Genes of a stratum are numbered in a seeded random order; a pathway with m members there takes m neighbours of that
-    ring from a random place. Draws are joins on (stratum, number), never lists.
+    ring from a random place. Their sum is a difference of two running sums along the ring, so a draw is two joins by place
+    for each pathway and stratum, whatever m is, never lists. If the running sums are too many to send to every task,
+    batches of permutations are written one after another.
     """
     order = numbered(strata.withColumn("_h", seeded_hash(seed, "gene")).sort("stratum", "_h", "gene"), "i", "strata")
     order = stage(order.join(scores.withColumnRenamed("node_id", "gene"), "gene", "left").fillna(0.0, ["score"]), "strata")
-    spans = F.broadcast(order.groupBy("stratum").agg(F.min("i").alias("first"), F.count("*").alias("size")))  # bins x bins rows
-    ring = order.join(spans, "stratum").select("stratum", (F.col("i") - F.col("first")).alias("at"), "score")
-    rows = members.join(strata, "gene").withColumn("_k", F.row_number().over(Window.partitionBy("pathway", "stratum").orderBy("gene")) - 1)
-    rows = rows.join(spans, "stratum").withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    place = F.pmod(seeded_hash(seed, "perm", "pathway", "stratum"), F.col("size")) + F.col("_k")
-    rows = rows.select("perm", "pathway", "stratum", F.pmod(place, F.col("size")).alias("at"))
-    return rows.join(ring, ["stratum", "at"]).groupBy("perm", "pathway").agg(F.avg("score").alias("null"))
+    spans = stage(order.groupBy("stratum").agg(F.min("i").alias("first"), F.count("*").alias("size"), F.sum("score").alias("_all")), "spans")  # bins x bins rows
+    before = F.coalesce(F.sum("score").over(Window.partitionBy("stratum").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ring = order.withColumn("_before", before).join(F.broadcast(spans), "stratum")
+    turns = F.array(F.struct((F.col("first") + F.col("i")).alias("at"), F.col("_before").alias("sum")), F.struct((F.col("first") + F.col("i") + F.col("size")).alias("at"), (F.col("_before") + F.col("_all")).alias("sum")))
+    ring = stage(ring.select(F.explode(turns).alias("_t")).select("_t.at", "_t.sum"), "ring")  # twice round
+    small = ring.count() * 48 <= BROADCAST_BYTES
+    sent = F.broadcast if small else lambda df: df
+    loads = members.join(strata, "gene").groupBy("pathway", "stratum").agg(F.count("*").alias("_m"))
+    loads = stage(loads.join(F.broadcast(spans), "stratum").select("pathway", "stratum", "_m", "first", "size"), "loads")
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batch, out = permutations if small else BATCH, None
+    for start in range(0, permutations, batch):
+        perms = F.sequence(F.lit(start), F.lit(min(start + batch, permutations) - 1))
+        # by pathway first, so that the many rows of permutations are added up where they are
+        rows = loads.repartition(parts, "pathway").withColumn("perm", F.explode(perms))
+        place = 2 * F.col("first") + F.pmod(seeded_hash(seed, "perm", "pathway", "stratum"), F.col("size"))
+        rows = rows.select("perm", "pathway", "_m", place.alias("_from"), (place + F.col("_m")).alias("_to"))
+        rows = rows.join(sent(ring.toDF("_from", "_low")), "_from").join(sent(ring.toDF("_to", "_high")), "_to")
+        part = rows.groupBy("perm", "pathway").agg((F.sum(F.col("_high") - F.col("_low")) / F.sum("_m")).alias("null"))
+        if batch < permutations:
+            part = stage(part, "nulls")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -861,7 +861,7 @@ def a23_summary(spark, d):
 
 # --- nulls and resampling --------------------------------------------------------------------------------------------
 
-PERMUTATIONS, REWIRINGS, POOL, CHOSEN = 20, 2, 15, 10
+PERMUTATIONS, REWIRINGS, POOL, CHOSEN = 1000, 1000, 15, 10
 
 
 @query(f"{_COND}, {MEMBERS} SELECT DISTINCT gene AS node_id FROM members WHERE gene IN (SELECT source FROM kept WHERE propagating UNION SELECT target FROM kept WHERE propagating)")

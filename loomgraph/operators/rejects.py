@@ -44,7 +44,12 @@ def _flatten_bare_breaks(line: str) -> str:
 
 
 def _parse(index: pa.Array, text: pa.Array, columns: list[str]) -> tuple[pa.Table, list[int]]:
-    """Fields of well-quoted lines, with the position of each line, and positions of lines with a wrong number."""
+    """Fields of well-quoted lines, with the position of each line, and positions of lines with a wrong number.
+
+    The reader miscounts the fields of a line with a NUL once it has met many quoted lines, so a NUL goes in as another
+    control character: the line is no row either way.
+    """
+    text = pc.replace_substring(text, "\0", "\x01")
     has_quote = pc.match_substring(text, '"')
     bare = pc.binary_join_element_wise('"', pc.replace_substring(text, ",", '","'), '"', "")
     quoted = pc.replace_substring_regex(text, rf"(^|,){WS}({QUOTED}){WS}", r"\1\2")

@@ -1,5 +1,7 @@
+import pyarrow as pa
 import pytest
 
+from loomgraph.operators import rejects
 from loomgraph.operators.rejects import parse_lines
 
 NODES = [
@@ -82,3 +84,17 @@ def test_a_very_long_line(spark):
     line = 'C1,Concept,"' + "x, " * 400_000 + '",HGNC'
     row = parse_lines(spark.createDataFrame([(1, "nodes", line)], "line_id long, layout string, line string")).first()
     assert row["reason"] is None and len(row["name"]) == 1_199_999
+
+
+@pytest.mark.parametrize("batch", [7, 100, 10_000])
+def test_a_reason_does_not_depend_on_the_batch(batch):
+    """Lines with a NUL among thousands of quoted ones, whatever the batch."""
+    cases = [(f'"C{i}", "Concept","name ""{i}""",HGNC', None) for i in range(2000)]
+    for i in range(50, 2000, 500):
+        cases[i] = (f'"C{i}\0",Concept,"a, b",HGNC', "value")
+        cases[i + 1] = (f'C{i},Concept,"a"', "columns")
+    table = pa.table({"line_id": range(len(cases)), "layout": ["nodes"] * len(cases), "line": [line for line, _ in cases]})
+    got = {}
+    for out in rejects._split(iter(table.to_batches(max_chunksize=batch))):
+        got.update(zip(out["line_id"].to_pylist(), out["reason"].to_pylist(), strict=True))
+    assert got == {i: want for i, (_, want) in enumerate(cases)}

@@ -1,14 +1,20 @@
 """References to records that do not exist, for composite keys with partial nulls and records with a lifetime.
 
-References are grouped by the null mask of their key; each mask is matched on its non-null columns only, under
-declared match semantics. All masks go through one join: the mask is part of the join key.
+References are grouped by the null mask of their key; each mask is anti-joined on its non-null columns only, under
+declared match semantics. Keys are placed by their number of references (``skew.place``): those with many are split into
+shards, so none meets in one task, and both joins of a mask run where the placement put its rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import Placement, place
+from loomgraph.session import stage
+
 FIRST, LAST = "0001-01-01 00:00:00", "9999-12-31 00:00:00"
 MATCH = ("simple", "partial", "full", "exact")
 
@@ -22,9 +28,9 @@ def null_mask(keys: list[str]) -> Column:
 
 
 def lifetimes(targets: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:
-    """Timeline of each key: segments [seg_from, seg_to) with kind ``late`` (before its first record), ``valid`` or
-    ``deleted``, without gaps. Overlapping lifetimes of one key are merged, first by month, then over all time, so a
-    key with many records is cut down before its timeline is put together."""
+    """(keys, seg_from, seg_to, first): the times [seg_from, seg_to) in which a key has a record, overlapping ones merged, and
+    the start of its first. Lifetimes are merged by month first, then over all time, so a key with many records is cut
+    down before its timeline is put together. Empty lifetimes stay, as they say that the key was there once."""
     life = targets.select(*keys, F.col(start).alias("a"), F.coalesce(F.col(end), F.lit(LAST).cast("timestamp")).alias("b"))
     life = life.filter("a is not null").groupBy(*keys, "a").agg(F.max("b").alias("b"))
 
@@ -35,15 +41,7 @@ def lifetimes(targets: DataFrame, keys: list[str], start: str, end: str) -> Data
         return df.withColumn("_run", run).groupBy(*keys, *part, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
 
     life = merged(merged(life.withColumn("_month", F.trunc("a", "month")), ["_month"]).drop("_month"), [])
-    w = Window.partitionBy(*keys).orderBy("a")
-    life = life.withColumn("_next", F.lead("a").over(w)).withColumn("_n", F.row_number().over(w))
-    first, last = F.lit(FIRST).cast("timestamp"), F.lit("9999-12-31 23:59:59").cast("timestamp")
-    segments = F.array(
-        F.struct(first.alias("f"), F.when(F.col("_n") == 1, F.col("a")).alias("t"), F.lit("late").alias("kind")),
-        F.struct(F.col("a").alias("f"), F.col("b").alias("t"), F.lit("valid").alias("kind")),
-        F.struct(F.col("b").alias("f"), F.coalesce(F.col("_next"), last).alias("t"), F.lit("deleted").alias("kind")),
-    )
-    return life.select(*keys, F.explode(segments).alias("s")).select(*keys, F.col("s.f").alias("seg_from"), F.col("s.t").alias("seg_to"), F.col("s.kind").alias("kind")).filter("seg_to > seg_from")
+    return life.select(*keys, F.col("a").alias("seg_from"), F.col("b").alias("seg_to"), F.min("a").over(Window.partitionBy(*keys)).alias("first"))
 
 
 def orphan_references(
@@ -56,46 +54,58 @@ def orphan_references(
     orphan of kind ``mixed``; ``exact``: null equals null. Without ``at`` a missing key is kind ``missing``. With it, a
     record exists in [start, end) (a null end is open, a null start never), kinds are ``missing`` (no record at any time), ``late`` (all
     start after ``at``) and ``deleted``; rows whose ``at`` is null can't be judged and are left out. Repeated rows are
-    reported each; other columns of ``refs`` are kept, other columns of ``targets`` ignored.
+    reported each; other columns of ``refs`` are kept (a column ``kind`` is replaced; names with a leading underscore are the
+    operator's own), other columns of ``targets`` ignored. Empty tables give an empty result or all references.
     """
     if match not in MATCH:
         raise ValueError(f"match must be one of {MATCH}")
     everything = (1 << len(keys)) - 1
-    refs = refs.withColumn("_mask", null_mask(keys))
+    refs = refs.drop("kind").withColumn("_mask", null_mask(keys))
+    columns = [c for c in refs.columns if c != "_mask"]
     mixed = None
     if match == "full":
-        mixed = refs.filter((F.col("_mask") != 0) & (F.col("_mask") != everything)).withColumn("kind", F.lit("mixed"))
+        mixed = refs.filter((F.col("_mask") != 0) & (F.col("_mask") != everything)).select(*columns, F.lit("mixed").alias("kind"))
     if match in ("simple", "full"):
         refs = refs.filter("_mask = 0")
     elif match == "partial":
         refs = refs.filter(F.col("_mask") != everything)
+    if at:
+        refs = refs.filter(F.col(at).isNotNull())
 
-    extra = [c for c in (start, end) if c and at]
-    targets = targets.select(*keys, *extra)
+    targets = targets.select(*keys, *(c for c in (start, end) if c and at))
     if match == "partial":  # a record answers each mask by its columns that are not null in the mask
-        masks = F.array(*(F.lit(m) for m in range(everything)))
-        targets = targets.withColumn("_mask", F.explode(masks))
+        targets = targets.withColumn("_mask", F.explode(F.array(*(F.lit(m) for m in range(everything)))))
         for i, k in enumerate(keys):
             targets = targets.withColumn(k, F.when(F.col("_mask").bitwiseAND(F.lit(1 << i)) == 0, F.col(k)))
         targets = targets.filter(null_mask(keys) == F.col("_mask"))
     else:
         targets = targets.withColumn("_mask", null_mask(keys))
     on = ["_mask", *keys]
-    if at:
-        target = lifetimes(targets, on, start, end)
-    else:
-        target = targets.select(*on).distinct().withColumn("kind", F.lit("valid"))
-    left, right = refs.alias("l"), target.alias("r")
-    condition = F.col("l._mask") == F.col("r._mask")
-    for k in keys:
-        condition = condition & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    if at:
-        left = refs.filter(F.col(at).isNotNull()).alias("l")
-        condition = condition & (F.col(f"l.{at}") >= F.col("r.seg_from")) & (F.col(f"l.{at}") < F.col("r.seg_to"))
-    out = left.join(right, condition, "left").select("l.*", F.coalesce("r.kind", F.lit("missing")).alias("kind")).filter("kind <> 'valid'")
-    if mixed is not None:
-        out = out.unionByName(mixed)
-    return out.drop("_mask")
+    records = stage(lifetimes(targets, on, start, end) if at else targets.distinct(), "records")
+
+    refs = stage(refs.withColumn("_row", F.monotonically_increasing_id()), "references")
+    loads = stage(refs.groupBy(*on).agg(F.count("*").alias("load")), "loads")
+    where = place(loads, on)
+    out = mixed
+    for mask in sorted(r["_mask"] for r in loads.select("_mask").distinct().collect()):  # at most 2^k
+        part = _orphans_of_mask(refs, records, where, mask, [k for i, k in enumerate(keys) if not mask >> i & 1], at).select(*columns, "kind")
+        out = part if out is None else out.unionByName(part)
+    return refs.select(*columns, F.lit("missing").alias("kind")).limit(0) if out is None else out
+
+
+def _orphans_of_mask(refs: DataFrame, records: DataFrame, where: Placement, mask: int, known: list[str], at: str | None) -> DataFrame:
+    """Anti-join of one mask on its non-null columns ``known``; then the kind, by a join of the orphans only."""
+    here = ["_task", "_shard", *known]
+    left = where.fragment(refs.filter(F.col("_mask") == mask), [F.col("_row")])
+    records = records.filter(F.col("_mask") == mask)
+    if not at:
+        return left.join(where.replicate(records).select(*here), here, "left_anti").withColumn("kind", F.lit("missing"))
+    valid = where.replicate(records.filter("seg_to > seg_from")).select(*(F.col(c).alias(f"_r{c}") for c in here), "seg_from", "seg_to")
+    same = [F.col(c) == F.col(f"_r{c}") for c in here]
+    lost = left.join(valid, reduce(Column.__and__, [*same, F.col(at) >= F.col("seg_from"), F.col(at) < F.col("seg_to")]), "left_anti")
+    first = where.replicate(records.filter("seg_from = first")).select(*here, F.col("first").alias("_first"))
+    kind = F.when(F.col("_first").isNull(), "missing").when(F.col(at) < F.col("_first"), "late").otherwise("deleted")
+    return lost.join(first, here, "left").withColumn("kind", kind)
 
 
 def orphan_report(orphans: DataFrame, at: str, by: list[str]) -> DataFrame:

@@ -104,9 +104,9 @@ def key_profiles(edges: DataFrame, nodes: DataFrame, tasks: int | None = None) -
     """
     keys = ["field", "node_id"]
     ends = edges.filter(F.col("node_id").isNotNull()).select("field", "node_id", "other", "predicate")
-    where = place(stage(ends.groupBy(*keys).agg(F.count("*").alias("load")), "loads"), keys, tasks)
-    # parallel edges are added up before they travel, whatever key they have; a key's shards get disjoint neighbours
-    merged = ends.groupBy("field", "node_id", "other", "predicate").agg(F.count("*").alias("n"))
+    # parallel edges are added up before they travel, so loads are what is left of them; a key's shards get disjoint neighbours
+    merged = stage(ends.groupBy("field", "node_id", "other", "predicate").agg(F.count("*").alias("n")), "merged")
+    where = place(stage(merged.groupBy(*keys).agg(F.count("*").alias("load")), "loads"), keys, tasks)
     rows = where.fragment(merged, [F.col("other")])
     match = where.replicate(nodes.select(F.explode(F.array(F.lit("source"), F.lit("target"))).alias("field"), "node_id", "n_node_rows"))
     joined = rows.join(match.hint("shuffle_hash"), ["_task", "_shard", *keys], "left")

@@ -52,3 +52,31 @@ def test_lifetimes(spark):
 def test_unknown_semantics_are_refused(spark):
     with pytest.raises(ValueError):
         run(spark, REFS, TARGETS, "loose")
+
+
+def test_hot_keys_are_split_without_adaptive_plans(spark):
+    """Two keys hold two thirds of the references, one of them has no record; every reference gets its own answer."""
+    day = lambda d: t(2024, 1, 1 + d)
+    nodes = [("hot", "n", day(3), day(9)), ("hot", "n", day(12), None), (None, "n", day(5), None), ("k1", "n", day(0), day(2))]
+    keys = [("hot", "n"), ("gone", "n"), ("hot", "n"), ("gone", "n"), ("k1", "n"), (None, "n")]
+    refs = [(i, *keys[i % 6], day(i % 15)) for i in range(1800)]
+    lives = {k: [(a, b) for *x, a, b in nodes if tuple(x) == k] for k in set(keys)}
+    want = {}
+    for i, a, b, at in refs:
+        mine = lives[a, b]
+        if not any(f <= at and (u is None or u > at) for f, u in mine):
+            want[i] = "missing" if not mine else "late" if min(f for f, _ in mine) > at else "deleted"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        r = spark.createDataFrame(refs, "id int, a string, b string, at timestamp")
+        g = spark.createDataFrame(nodes, "a string, b string, f timestamp, u timestamp")
+        got = {x["id"]: x["kind"] for x in orphan_references(r, g, ["a", "b"], "exact", "at", "f", "u").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == want and set(want.values()) == {"missing", "late", "deleted"}
+
+
+def test_clashing_columns(spark):
+    r = spark.createDataFrame([(1, "x", "old", 5)], "id int, a string, kind string, load int")
+    g = spark.createDataFrame([("y", 1)], "a string, kind int")
+    assert [(x["id"], x["kind"], x["load"]) for x in orphan_references(r, g, ["a"], "simple").collect()] == [(1, "missing", 5)]

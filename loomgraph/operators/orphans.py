@@ -31,17 +31,17 @@ def lifetimes(targets: DataFrame, keys: list[str], start: str, end: str) -> Data
     """(keys, seg_from, seg_to, first): the times [seg_from, seg_to) in which a key has a record, overlapping ones merged, and
     the start of its first. Lifetimes are merged by month first, then over all time, so a key with many records is cut
     down before its timeline is put together. Empty lifetimes stay, as they say that the key was there once."""
-    life = targets.select(*keys, F.col(start).alias("a"), F.coalesce(F.col(end), F.lit(LAST).cast("timestamp")).alias("b"))
-    life = life.filter("a is not null").groupBy(*keys, "a").agg(F.max("b").alias("b"))
+    life = targets.select(*keys, F.col(start).alias("_a"), F.coalesce(F.col(end), F.lit(LAST).cast("timestamp")).alias("_b"))
+    life = life.filter("_a is not null").groupBy(*keys, "_a").agg(F.max("_b").alias("_b"))
 
     def merged(df: DataFrame, part: list) -> DataFrame:
-        w = Window.partitionBy(*keys, *part).orderBy("a")
-        reach = F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1))
-        run = F.sum(F.when(reach.isNull() | (F.col("a") > reach), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        return df.withColumn("_run", run).groupBy(*keys, *part, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("_run")
+        w = Window.partitionBy(*keys, *part).orderBy("_a")
+        reach = F.max("_b").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        run = F.sum(F.when(reach.isNull() | (F.col("_a") > reach), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+        return df.withColumn("_run", run).groupBy(*keys, *part, "_run").agg(F.min("_a").alias("_a"), F.max("_b").alias("_b")).drop("_run")
 
-    life = merged(merged(life.withColumn("_month", F.trunc("a", "month")), ["_month"]).drop("_month"), [])
-    return life.select(*keys, F.col("a").alias("seg_from"), F.col("b").alias("seg_to"), F.min("a").over(Window.partitionBy(*keys)).alias("first"))
+    life = merged(merged(life.withColumn("_month", F.trunc("_a", "month")), ["_month"]).drop("_month"), [])
+    return life.select(*keys, F.col("_a").alias("seg_from"), F.col("_b").alias("seg_to"), F.min("_a").over(Window.partitionBy(*keys)).alias("first"))
 
 
 def orphan_references(
@@ -60,8 +60,13 @@ def orphan_references(
     if match not in MATCH:
         raise ValueError(f"match must be one of {MATCH}")
     everything = (1 << len(keys)) - 1
-    refs = refs.drop("kind").withColumn("_mask", null_mask(keys))
-    columns = [c for c in refs.columns if c != "_mask"]
+    own = {k: f"_k{i}" for i, k in enumerate(keys)}
+    refs = refs.drop("kind")
+    columns = [F.col(own.get(c, c)).alias(c) for c in refs.columns]
+    refs = refs.withColumnsRenamed(own)
+    targets = targets.select(*(F.col(k).alias(n) for k, n in own.items()), *([F.col(start).alias("_start"), F.col(end).alias("_end")] if at else []))
+    keys = list(own.values())
+    refs = refs.withColumn("_mask", null_mask(keys))
     mixed = None
     if match == "full":
         mixed = refs.filter((F.col("_mask") != 0) & (F.col("_mask") != everything)).select(*columns, F.lit("mixed").alias("kind"))
@@ -70,9 +75,8 @@ def orphan_references(
     elif match == "partial":
         refs = refs.filter(F.col("_mask") != everything)
     if at:
-        refs = refs.filter(F.col(at).isNotNull())
+        refs = refs.filter(F.col(own.get(at, at)).isNotNull())
 
-    targets = targets.select(*keys, *(c for c in (start, end) if c and at))
     if match == "partial":  # a record answers each mask by its columns that are not null in the mask
         targets = targets.withColumn("_mask", F.explode(F.array(*(F.lit(m) for m in range(everything)))))
         for i, k in enumerate(keys):
@@ -81,14 +85,14 @@ def orphan_references(
     else:
         targets = targets.withColumn("_mask", null_mask(keys))
     on = ["_mask", *keys]
-    records = stage(lifetimes(targets, on, start, end) if at else targets.distinct(), "records")
+    records = stage(lifetimes(targets, on, "_start", "_end") if at else targets.distinct(), "records")
 
     refs = stage(refs.withColumn("_row", F.monotonically_increasing_id()), "references")
     loads = stage(refs.groupBy(*on).agg(F.count("*").alias("load")), "loads")
     where = place(loads, on)
     out = mixed
     for mask in sorted(r["_mask"] for r in loads.select("_mask").distinct().collect()):  # at most 2^k
-        part = _orphans_of_mask(refs, records, where, mask, [k for i, k in enumerate(keys) if not mask >> i & 1], at).select(*columns, "kind")
+        part = _orphans_of_mask(refs, records, where, mask, [k for i, k in enumerate(keys) if not mask >> i & 1], own.get(at, at)).select(*columns, "kind")
         out = part if out is None else out.unionByName(part)
     return refs.select(*columns, F.lit("missing").alias("kind")).limit(0) if out is None else out
 
@@ -100,9 +104,9 @@ def _orphans_of_mask(refs: DataFrame, records: DataFrame, where: Placement, mask
     records = records.filter(F.col("_mask") == mask)
     if not at:
         return left.join(where.replicate(records).select(*here), here, "left_anti").withColumn("kind", F.lit("missing"))
-    valid = where.replicate(records.filter("seg_to > seg_from")).select(*(F.col(c).alias(f"_r{c}") for c in here), "seg_from", "seg_to")
+    valid = where.replicate(records.filter("seg_to > seg_from")).select(*(F.col(c).alias(f"_r{c}") for c in here), F.col("seg_from").alias("_from"), F.col("seg_to").alias("_to"))
     same = [F.col(c) == F.col(f"_r{c}") for c in here]
-    lost = left.join(valid, reduce(Column.__and__, [*same, F.col(at) >= F.col("seg_from"), F.col(at) < F.col("seg_to")]), "left_anti")
+    lost = left.join(valid, reduce(Column.__and__, [*same, F.col(at) >= F.col("_from"), F.col(at) < F.col("_to")]), "left_anti")
     first = where.replicate(records.filter("seg_from = first")).select(*here, F.col("first").alias("_first"))
     kind = F.when(F.col("_first").isNull(), "missing").when(F.col(at) < F.col("_first"), "late").otherwise("deleted")
     return lost.join(first, here, "left").withColumn("kind", kind)

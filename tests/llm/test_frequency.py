@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from loomgraph.llm import frequency
 
 SCHEMA = "field string, record string, term string, occ int"
@@ -38,6 +40,24 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_terms_without_a_broadcast(spark, monkeypatch):
+    """As many terms as rows, one of them in a third of the rows, by shuffled joins only."""
+    monkeypatch.setattr(frequency, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(frequency, "WIDTH", 64)
+    rows = [("f", f"r{i}", f"t{i % 2900}", 1) for i in range(3000)] + [("f", f"r{i}", "hot", 1) for i in range(1500)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_arrays_of_few_counts_go_as_places():
+    held = {("f", 3): np.zeros((2, 64), np.int64), ("g", 0): np.ones((2, 64), np.int64)}
+    held["f", 3][:, [5, 9]] = [[7, 8], [1, 2]]
+    batch = frequency._emit(held, 64)
+    assert batch.column(2).to_pylist() == [[5, 9], None]
+    assert batch.column(3).to_pylist() == [[7, 8], [1] * 64] and batch.column(4).to_pylist()[0] == [1, 2]
+    (total,) = frequency._sum_ranges(iter([frequency._emit({("f", 3): held["f", 3]}, 64)] * 2), 64)
+    assert total.column(3).to_pylist() == [[14, 16]]
+
+
 def test_null_empty_and_long(spark):
     rows = [("f", None, "only", 1), ("f", "a", None, 1), ("f", "a", "", 1), ("f", "b", "x" * 100_000, 1)]
     got = run(spark, rows, rare=1, common=0.9)

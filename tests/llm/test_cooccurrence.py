@@ -49,3 +49,18 @@ def test_conviction(spark):
     df = spark.createDataFrame(rows, "b string, i string, n int")
     (r,) = pair_counts(df, "b", "i", 1).collect()
     assert r["conviction"] == pytest.approx((1 - 2 / 4) / (1 - 1 / 2))
+
+
+def test_equal_large_baskets_and_many_giants_without_adaptive_plans(spark):
+    """More giants than bits in an integer, equal large baskets, and a basket with a third of the rows."""
+    rnd = random.Random(6)
+    rows = [(f"g{k}", f"i{i}", 1) for k in range(75) for i in rnd.sample(range(40), 34)]
+    rows += [(f"same{k}", f"i{i}", 1) for k in range(30) for i in range(11)]
+    rows += [("huge", f"i{i}", 1) for i in range(700)]
+    rows += [(f"s{k}", f"i{i}", 1) for k in range(60) for i in rnd.sample(range(10), 3)]
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert run(spark, rows, 70, 0, 8) == brute(rows, 70, 0) != {}
+        assert run(spark, rows, 20, 1, 8) == brute(rows, 20, 1) != {}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

@@ -1,8 +1,10 @@
 """Duplicates hidden by formatting: columns are dictionary-encoded on their canonical values, and compact tuples grouped.
 
 Every distinct value of a column is canonicalised once and gets an integer shared by all its spellings. Records become
-tuples of field-value integers in the order of their fields, small fields packed bit by bit into common integers; equal
-tuples are copies.
+sorted tuples of field-value integers, and equal tuples are copies. In a table (``copies``) a field's integers follow those
+of the fields before it, so a sorted tuple has its fields in one order; each integer is stored less its field's first,
+and small ones are packed bit by bit into common integers. Records given as cells (``copies_of_cells``), whose fields come in
+any order, are sorted as such.
 """
 
 from __future__ import annotations
@@ -106,10 +108,51 @@ def copies(
     """
     encoded, record = encode_records(rows, row_id, columns, canon, required or [])
     encoded = stage(encoded, "records")
-    # copies are counted before the shuffle: a record that is most of the table is one row of each task
-    groups = encoded.filter("whole").groupBy(*record).agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("copies"))
-    groups = stage(groups, "groups")
-    repeated = groups.filter("copies > 1").select(*record, "first_row_id")
-    found = encoded.filter("whole").select("row_id", *record).join(repeated, record).filter("row_id <> first_row_id").select("row_id", "first_row_id")
+    groups, found = _grouped(encoded.filter("whole").select("row_id", *record), record)
     alone = encoded.filter("NOT whole").select(F.col("row_id").alias("first_row_id"), F.lit(1).cast("long").alias("copies"))
     return found, groups.select("first_row_id", "copies").unionByName(alone)
+
+
+def _grouped(encoded: DataFrame, record: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(record, first_row_id, copies) of all records, and (row_id, first_row_id) of the copies.
+
+    Copies are counted before the shuffle: a record that is most of the table is one row of each task. Rows of the few
+    records with many copies are found by broadcast where they are; the other records have few rows each, so none is hot.
+    """
+    groups = stage(encoded.groupBy(*record).agg(F.min("row_id").alias("first_row_id"), F.count("*").alias("copies")), "groups")
+    limit = (groups.agg(F.sum("copies").alias("n")).first()["n"] or 0) // HOT + 1
+    repeated = groups.filter("copies > 1")
+    hot = repeated.filter(F.col("copies") > limit).select(*record, "first_row_id")  # fewer than HOT
+    cold = repeated.filter(F.col("copies") <= limit).select(*record, "first_row_id")
+    # rows of hot records do not travel; those without a copy meet no row of ``cold``
+    rest = encoded.join(F.broadcast(hot.drop("first_row_id")), record, "left_anti")
+    found = encoded.join(F.broadcast(hot), record).select("row_id", "first_row_id").unionByName(rest.join(cold, record).select("row_id", "first_row_id"))
+    return groups, found.filter("row_id <> first_row_id")
+
+
+def copies_of_cells(cells: DataFrame, row_id: str, field: str, value: str, canon: dict[str, Callable[[Column], Column]]) -> tuple[DataFrame, DataFrame]:
+    """The same for records whose fields come in any order: ``cells`` has a row per record, field and value.
+
+    A field without a rule in ``canon`` is compared as it stands. A field whose canonical value is null, and a null field, do
+    not count; equal cells of a record count once, different values of one field each. A record without cells is none; one
+    whose cells are all null is a record of its own. Other columns are ignored.
+    """
+    rows = cells.select(F.col(row_id).alias("row_id"), F.col(field).cast("string").alias("field"), F.col(value).cast("string").alias("raw"))
+    given = rows.filter("field is not null and raw is not null")
+    spellings = given.groupBy("field", "raw").agg(F.count("*").alias("n"))
+    canonical = F.col("raw")
+    for name, rule in canon.items():
+        canonical = F.when(F.col("field") == name, rule(F.col("raw"))).otherwise(canonical)
+    spellings = stage(spellings.withColumn("value", canonical), "spellings")
+    names = numbered(spellings.filter("value is not null").select("field", "value").distinct(), "id", "values")
+    entries = stage(spellings.join(names, ["field", "value"], "left").select("field", "raw", "id", "n"), "dictionary")
+    limit = (entries.agg(F.sum("n").alias("n")).first()["n"] or 0) // HOT + 1
+    hot, cold = F.broadcast(entries.filter(F.col("n") > limit).drop("n")), entries.filter(F.col("n") <= limit).drop("n")
+    coded = given.join(hot, ["field", "raw"]).unionByName(given.join(hot, ["field", "raw"], "left_anti").join(cold, ["field", "raw"])).select("row_id", "id")
+    coded = coded.unionByName(rows.filter("field is null or raw is null").select("row_id", F.lit(None).cast("long").alias("id")))
+    # a record's cells add up to its sorted tuple, which has as many integers as the record has fields
+    tuples = coded.groupBy("row_id").agg(F.array_sort(F.collect_set("id")).alias("_tuple"))
+    tuples = stage(tuples, "records")
+    groups, found = _grouped(tuples.filter(F.size("_tuple") > 0), ["_tuple"])
+    alone = tuples.filter(F.size("_tuple") == 0).select(F.col("row_id").alias("first_row_id"), F.lit(1).cast("long").alias("copies"))
+    return found, groups.select("first_row_id", "copies").unionByName(alone)

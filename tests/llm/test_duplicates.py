@@ -55,3 +55,31 @@ def test_fields_that_do_not_fit_one_integer(spark, monkeypatch):
 
 def test_empty_table(spark):
     check(spark, [])
+
+
+def test_a_record_that_is_most_of_the_table_without_adaptive_plans(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "HOT", 20)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        check(spark, make(300))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_fields_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "HOT", 2)
+    rnd = random.Random(9)
+    records, cells = {}, []
+    for i in range(300):
+        fields = {"name": rnd.choice(["A ", "a", "b", " B"]), "n": rnd.choice(["1", "2"]), "note": rnd.choice([None, "x", "X"])}
+        records[i] = frozenset((k, v.strip().lower() if k == "name" else v) for k, v in fields.items() if v is not None)
+        cells += [(i, k, v, 0) for k, v in rnd.sample(sorted(fields.items()), 3)]
+    cells += [(500, "note", None, 0), (501, None, "x", 0), (0, "n", dict(c[1:3] for c in cells[:3])["n"], 0)]
+    df = spark.createDataFrame(cells, "rid long, f string, v string, id int")
+    found, groups = duplicates.copies_of_cells(df, "rid", "f", "v", {"name": lambda c: F.lower(F.trim(c))})
+    first = {}
+    for i in sorted(records):
+        first.setdefault(records[i], i)
+    assert {r["row_id"]: r["first_row_id"] for r in found.collect()} == {i: first[r] for i, r in records.items() if first[r] != i}
+    got = {r["first_row_id"]: r["copies"] for r in groups.collect()}
+    assert got == {f: sum(r == x for x in records.values()) for r, f in first.items()} | {500: 1, 501: 1}

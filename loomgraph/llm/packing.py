@@ -1,13 +1,15 @@
 """Filling fixed-capacity containers: swap-based local search over shards of items.
 
-Items are hashed into shards of bounded size. Within a shard, an initial best-fit assignment is improved by exchanges
-between underfull bins (a move, one for one, two for one) that raise the sum of squared fills, until bins empty.
-Items of bins that stay underfull meet those of other shards in a next round, until one shard is left or a round
-fills hardly any more bins.
+Items are hashed into shards of bounded size and put into bins one after another (next fit). Then bins exchange items: the
+emptiest bin gives fill to bins at least as full, by a move, one item for one, or two for one, always the exchange that
+raises the sum of squared fills most, until it is empty or nothing improves. All underfull bins take part. In further
+rounds whole bins that are not full meet those of other shards, as long as rounds save bins.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,89 +17,107 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import stage
 
-#: Items of a shard, and the fill from which a bin is left alone.
-SHARD_ITEMS, FULL = 4096, 0.99
-
-
-def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of item positions: largest items first, each into the fullest bin with room."""
-    room: dict[int, list[int]] = {}
-    open_mask, bins = 0, []
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
-        fit = open_mask >> sizes[i]
-        if fit:
-            left = (fit & -fit).bit_length() - 1 + sizes[i]
-            b = room[left].pop()
-            if not room[left]:
-                open_mask &= ~(1 << left)
-        else:
-            b, left = len(bins), capacity
-            bins.append([])
-        bins[b].append(i)
-        left -= sizes[i]
-        room.setdefault(left, []).append(b)
-        open_mask |= 1 << left
-    return bins
-
-
-def _exchange(donor: list[int], fill: dict[int, int], bins: list[list[int]], d: int, sizes: list[int], capacity: int) -> bool:
-    """One exchange that takes fill from bin ``d`` to a bin at least as full; False if there is none."""
-    mine = sorted(donor, key=lambda i: -sizes[i])
-    pairs = [(sizes[i] + sizes[j], i, j) for a, i in enumerate(mine[:24]) for j in mine[a + 1 : 25]]
-    best = None
-    for b, f in fill.items():
-        if b == d or f < fill[d]:
-            continue
-        room = capacity - f
-        for i in mine:  # a move is the best there is for its item: it empties the donor
-            if sizes[i] <= room and (best is None or sizes[i] > best[0]):
-                best = (sizes[i], b, [i], None)
-        theirs = {sizes[t]: t for t in bins[b]}
-        for size, t in theirs.items():
-            for i in mine:
-                gain = sizes[i] - size
-                if 0 < gain <= room and (best is None or gain > best[0]):
-                    best = (gain, b, [i], t)
-            for both, i, j in pairs:
-                gain = both - size
-                if 0 < gain <= room and (best is None or gain > best[0]):
-                    best = (gain, b, [i, j], t)
-    if best is None:
-        return False
-    gain, b, out, back = best
-    for i in out:
-        donor.remove(i)
-        bins[b].append(i)
-    if back is not None:
-        bins[b].remove(back)
-        donor.append(back)
-    fill[b] += gain
-    fill[d] -= gain
-    if fill[b] == capacity:
-        del fill[b]
-    return True
-
-
-def pack_shard(sizes: list[int], capacity: int) -> np.ndarray:
-    """Bin of each item; sizes are 1..capacity."""
-    bins = best_fit(sizes, capacity)
-    fill = {b: f for b, items in enumerate(bins) if (f := sum(sizes[i] for i in items)) < capacity}
-    for d in sorted(fill, key=lambda b: (fill[b], b)):
-        if d not in fill or fill[d] >= FULL * capacity:
-            continue
-        while bins[d] and d in fill and _exchange(bins[d], fill, bins, d, sizes, capacity):
-            pass
-        fill.pop(d, None)  # emptied, or nothing improves: its turn is over
-    out = np.zeros(len(sizes), np.int64)
-    for b, items in enumerate(bins):
-        out[items] = b
+#: Items of a shard. A round that saves less than one bin in so many is the last.
+SHARD_ITEMS, LEAST_SAVING = 4096, 1000
+
+
+def next_fit(sizes: np.ndarray, capacity: int) -> np.ndarray:
+    """Bin of each item in the order given: a new bin where the last one has no room."""
+    out, b, fill = np.zeros(len(sizes), np.int64), 0, 0
+    for i, s in enumerate(sizes.tolist()):
+        if fill + s > capacity:
+            b, fill = b + 1, 0
+        out[i] = b
+        fill += s
     return out
 
 
+def _offers(sizes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of one or two items of a bin, ascending and distinct, with the sizes (the second is 0 for a single item). There
+    are at most as many as the bin is large, as sums of distinct sizes are."""
+    count = Counter(sizes)
+    one = np.array(sorted(count), np.int64)
+    i, j = np.triu_indices(len(one))
+    keep = (i != j) | (np.array([count[x] for x in one.tolist()])[i] > 1)
+    first, second = np.concatenate([one, one[i[keep]]]), np.concatenate([np.zeros(len(one), np.int64), one[j[keep]]])
+    total, at = np.unique(first + second, return_index=True)
+    return total, first[at], second[at]
+
+
+class _Bins:
+    """Items of a shard in bins, with the fill of each bin; ``search`` improves them in place."""
+
+    def __init__(self, sizes: np.ndarray, bins: np.ndarray, capacity: int):
+        self.size, self.bin, self.capacity = sizes, bins.copy(), capacity
+        self.fill = np.bincount(bins, sizes).astype(np.int64)
+
+    def search(self) -> None:
+        improved = True
+        while improved:
+            improved = False
+            open_ = np.flatnonzero((self.fill > 0) & (self.fill < self.capacity))
+            for d in open_[np.argsort(self.fill[open_], kind="stable")]:
+                while 0 < self.fill[d] < self.capacity and self._give(int(d)):
+                    improved = True
+
+    def _give(self, d: int) -> bool:
+        """The best exchange that takes fill from bin ``d`` to a bin at least as full; False if there is none."""
+        mine = np.flatnonzero(self.bin == d)
+        total, first, second = _offers(self.size[mine].tolist())
+        room = self.capacity - self.fill
+        takes = (self.fill >= self.fill[d]) & (room > 0)
+        takes[d] = False
+        bins = np.flatnonzero(takes)
+        theirs = np.flatnonzero(takes[self.bin])
+        # an exchange for nothing is a move of one item; else one or two items for one of the other bin
+        single = second == 0
+        ones = total[single]
+        back = np.concatenate([np.zeros(len(bins), np.int64), self.size[theirs]])
+        to = np.concatenate([bins, self.bin[theirs]])
+        most = back + room[to]
+        k = np.searchsorted(total, most, "right") - 1
+        gain = np.where(k >= 0, total[np.maximum(k, 0)], 0) - back
+        k1 = np.searchsorted(ones, room[bins], "right") - 1
+        gain[: len(bins)] = np.where(k1 >= 0, ones[np.maximum(k1, 0)], 0)
+        value = np.where(gain > 0, gain * (self.fill[to] - self.fill[d] + gain), 0)
+        if not len(value) or value.max() <= 0:
+            return False
+        best = int(value.argmax())
+        at = int(np.flatnonzero(single)[k1[best]]) if best < len(bins) else int(k[best])
+        given = [mine[np.flatnonzero(self.size[mine] == first[at])[0]]]
+        if second[at]:
+            rest = np.setdiff1d(mine, given)
+            given.append(rest[np.flatnonzero(self.size[rest] == second[at])[0]])
+        b = int(to[best])
+        self.bin[given] = b
+        if best >= len(bins):
+            self.bin[theirs[best - len(bins)]] = d
+        self.fill[b] += gain[best]
+        self.fill[d] -= gain[best]
+        return True
+
+
+def pack_shard(sizes: np.ndarray, bins: np.ndarray, capacity: int) -> np.ndarray:
+    """Bin of each item after the search; sizes are 1..capacity and ``bins`` hold at most ``capacity``."""
+    state = _Bins(np.asarray(sizes, np.int64), np.asarray(bins, np.int64), capacity)
+    state.search()
+    return state.bin
+
+
 def _packer(level: int, capacity: int):
+    """Items of a shard into bins; in later rounds they come with their bins, which stay together until exchanges."""
+
     def work(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["_item", "_k"]).drop(columns="_shard").reset_index(drop=True)
-        bins = pack_shard(pdf["_size"].tolist(), capacity)
+        sizes = pdf["_size"].to_numpy(np.int64)
+        # bins before the search: one after another in the order of a hash, or those of the last round
+        if level:
+            bins = pd.factorize(pdf["container"])[0]
+        else:
+            order = pd.util.hash_array((pdf["_item"].to_numpy(np.int64) << 20) + pdf["_k"].to_numpy(np.int64)).argsort(kind="stable")
+            bins = np.empty(len(pdf), np.int64)
+            bins[order] = next_fit(sizes[order], capacity)
+        bins = pack_shard(sizes, bins, capacity)
         pdf["container"] = [f"{level}-{group[0]}-{b}" for b in bins]
         pdf["_fill"] = pdf["_size"].groupby(bins).transform("sum")
         return pdf
@@ -120,21 +140,22 @@ def pack(items: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     result = [key, F.col("_k").alias("piece"), "start", F.col("_size").alias(size)]
     empty = pieces.filter("_size = 0").select(*result, F.lit(None).cast("string").alias("container"))
     full = pieces.filter(F.col("_size") == capacity).select(*result, F.format_string("full-%d-%d", "_item", "_k").alias("container"))
-    todo = pieces.filter((F.col("_size") > 0) & (F.col("_size") < capacity)).select(*([key, "_k", "start", "_size", "_item"]))
-    parts, level, left = [empty, full], 0, todo.count()
+    parts, level = [empty, full], 0
+    todo = pieces.filter((F.col("_size") > 0) & (F.col("_size") < capacity)).select(key, "_k", "start", "_size", "_item", F.lit("").alias("container"))
     schema = f"`{key}` {dict(items.dtypes)[key]}, _k int, start long, _size long, _item long, container string, _fill long"
+    left, before = todo.count(), 0
     while left:
         shards = -(-left // SHARD_ITEMS)
-
-        shard = F.pmod(F.xxhash64(F.lit(level), "_item", "_k"), F.lit(shards))
+        by = [F.col("_item"), F.col("_k")] if not level else [F.col("container")]
+        shard = F.pmod(F.xxhash64(F.lit(level), *by), F.lit(shards))
         done = stage(todo.withColumn("_shard", shard).groupBy("_shard").applyInPandas(_packer(level, capacity), schema), "packed")
-        loose = done.filter(F.col("_fill") < FULL * capacity)
-        again = loose.count() if shards > 1 else 0
-        if again > left // 2:  # another round would fill hardly more
-            again = 0
-        kept = done if not again else done.filter(F.col("_fill") >= FULL * capacity)
-        parts.append(kept.select(*result, "container"))
-        todo, left, level = loose.select(key, "_k", "start", "_size", "_item"), again, level + 1
+        loose = F.when(F.col("_fill") < capacity, F.col("container"))
+        left, bins, now = done.agg(F.count(loose), F.count_distinct(loose), F.count_distinct("container")).first()
+        if shards == 1 or (level and (before - now) * LEAST_SAVING < before):
+            parts.append(done.select(*result, "container"))
+            break
+        parts.append(done.filter(F.col("_fill") == capacity).select(*result, "container"))
+        todo, before, level = done.filter(F.col("_fill") < capacity).drop("_fill"), bins, level + 1
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

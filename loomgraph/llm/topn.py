@@ -27,9 +27,9 @@ def score_code(score: pd.Series) -> pd.Series:
     return pd.Series(np.where(bits < 0, bits ^ np.int64(0x7FFFFFFFFFFFFFFF), bits))
 
 
-def id_code(ident: Column, word: int) -> Column:
-    """Seven UTF-8 bytes of the identifier as an integer, larger for smaller ones."""
-    part = F.rpad(F.hex(F.substring(F.encode(ident, "UTF-8"), 7 * word + 1, 7)), 14, "0")
+def id_code(ident: Column, word: Column) -> Column:
+    """Seven UTF-8 bytes of the identifier, from place 7 ``word`` on, as an integer, larger for smaller ones."""
+    part = F.rpad(F.hex(F.substring(F.encode(ident, "UTF-8"), 7 * word + 1, F.lit(7))), 14, "0")
     return -F.conv(part, 16, 10).cast("long")
 
 
@@ -46,7 +46,7 @@ def top_n(rows: DataFrame, groups: list[str], score: str, ident: str, n: int, pl
     names = [f"_{c}{i}" for i in range(len(groups)) for c in "gn"]
     rows = rows.filter(F.col(score).isNotNull() & ~F.isnan(score) & F.col(ident).isNotNull())
     live = stage(rows.select("*", *keys, *nulls, score_code(F.col(score)).alias("_code"), F.lit(n).cast("long").alias("_need"), F.lit(0).alias("_word")), "codes")
-    width = live.agg(F.min("_code").alias("lo"), F.max("_code").alias("hi"), F.max(F.octet_length(ident)).alias("bytes")).first()
+    width = live.agg(F.min("_code").alias("lo"), F.max("_code").alias("hi")).first()
     columns = rows.columns
     if width["lo"] is None:
         return rows.select("*", F.lit(None).cast("int").alias(place)).limit(0)
@@ -67,8 +67,7 @@ def top_n(rows: DataFrame, groups: list[str], score: str, ident: str, n: int, pl
             break
         # equal codes at the cutoff are told apart by the next word of the identifier
         tied = F.col("_min") == F.col("_max")
-        words = range(width["bytes"] // 7 + 1)
-        next_code = F.coalesce(*(F.when(F.col("_word") == w, id_code(F.col(ident), w)) for w in words), F.lit(0))
+        next_code = id_code(F.col(ident), F.col("_word"))
         live = edge.select(
             *columns,
             *names,

@@ -56,3 +56,9 @@ def test_property(spark, items, n):
 def test_codes_far_apart(spark, n):
     rows = [("g", "h", f"i{k}", s, "") for k, s in enumerate([5e-324, -5e-324, 1.8e308, -1.8e308, 0.0, 1.0])]
     assert run(spark, rows, n) == brute(rows, n)
+
+
+def test_long_identifiers(spark):
+    """Some have ten thousand bytes, but differ in their first words."""
+    rows = [("g", "h", f"{k:03d}" + "x" * 10_000 * (k % 2), 1.0, "") for k in range(12)] + [("g", "h", "011y" + "x" * 20, 2.0, "")]
+    assert run(spark, rows, 5) == brute(rows, 5)

@@ -8,13 +8,15 @@ pair is left; an ordered aggregation gives the word's ids. Nothing is shuffled a
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+import os
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -135,11 +137,22 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int64()))
 
 
+def _sent(docs: DataFrame, vocabulary: str) -> Callable[[], str]:
+    """Sends the driver's vocabulary file to every executor; its path there."""
+    docs.sparkSession.sparkContext.addFile(vocabulary)
+    name = os.path.basename(vocabulary)
+    return lambda: SparkFiles.get(name)
+
+
+def _ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+
+
 @lru_cache(maxsize=2)
 def _vocabulary(path: str) -> tuple[np.ndarray, pa.Table]:
     """Ids of the 256 bytes, and a row for every pair of tokens that make up a third one."""
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = _ranks(path)
     pairs = [(ranks[t[:k]], ranks[t[k:]], n) for t, n in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
     columns = np.array(pairs, np.int64).T
     return np.array([ranks[bytes([b])] for b in range(256)], np.int64), pa.table(dict(zip(("l", "r", "merged"), columns, strict=True)))
@@ -163,9 +176,10 @@ def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_
     Null and empty texts give an empty list. Every row is encoded, repeated ones too; texts of any length are encoded
     whole; other columns are ignored. A surrogate that UTF-8 can't hold is encoded as a question mark.
     """
+    at = _sent(docs, vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(at())
         for keys, texts in _blocks(batches):
             if len(encoder.known) > WORDS_KEPT:
                 encoder.forget()
@@ -177,9 +191,10 @@ def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_
 
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text", count: str = "n_tokens") -> DataFrame:
     """(key, count): number of tokens of each text; 0 for null and empty texts."""
+    at = _sent(docs, vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = Encoder(at())
         for keys, texts in _blocks(batches):
             if len(encoder.known) > WORDS_KEPT:
                 encoder.forget()
@@ -187,3 +202,21 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_
 
     kind = dict(docs.dtypes)[key]
     return docs.select(key, F.col(text).cast("string")).mapInArrow(work, f"`{key}` {kind}, `{count}` bigint")
+
+
+def decode_ids(encoded: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", ids: str = "ids", text: str = "text") -> DataFrame:
+    """(key, text): the text of each list of token ids, an ordered aggregation of the tokens' bytes within its row.
+
+    An empty list gives an empty text, a null list null. Bytes that are no UTF-8, as where a list ends within a character,
+    become U+FFFD; an id outside the vocabulary, or null, fails. Other columns are ignored.
+    """
+    at = _sent(encoded, vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = {i: t for t, i in _ranks(at()).items()}
+        for batch in batches:
+            texts = [None if row is None else b"".join([token[i] for i in row]).decode("utf-8", "replace") for row in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[key, text])
+
+    kind = dict(encoded.dtypes)[key]
+    return encoded.select(key, F.col(ids).cast("array<bigint>")).mapInArrow(work, f"`{key}` {kind}, `{text}` string")

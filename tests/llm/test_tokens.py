@@ -45,3 +45,18 @@ def test_forgetting_and_blocks(spark, reference, monkeypatch):
 
 def test_empty_table(spark):
     assert tokens.encode_texts(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_decoding_gives_the_texts_back(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in tokens.decode_ids(tokens.encode_texts(df)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(TEXTS)}
+    rows = spark.createDataFrame([(1, None, 2), (2, [], 3), (3, [158, 120], 4)], "doc_id long, ids array<int>, text int")
+    assert [r["text"] for r in tokens.decode_ids(rows).orderBy("doc_id").collect()] == [None, "", "\ufffd"]
+
+
+def test_both_ways_of_contracting_words_agree(monkeypatch, reference):
+    words = ["ab" * 90, "x" * 200, "漢字" * 40, "abcabd" * 30]
+    short = tokens.Encoder(tokens.VOCABULARY).encode(words).to_pylist()
+    monkeypatch.setattr(tokens, "LONG_WORD", 8)
+    assert tokens.Encoder(tokens.VOCABULARY).encode(words).to_pylist() == short == [reference.encode_ordinary(w) for w in words]

@@ -23,13 +23,12 @@ from loomgraph.session import stage
 
 PROSE, LINKS, TAGS, MENU = range(4)
 STATES = ["prose", "link list", "tag list", "menu"]
-ROUNDS = 4
+#: Rounds end when no parameter changes by more, or after so many.
+TOLERANCE, ROUNDS = 0.005, 50
 #: Fewer words are no list, fewer lines no menu; a link counts as so many words.
 LIST_WORDS, MENU_LINES, LINK_WORDS = 5, 3, 2
-#: A sentence's end is looked for in so many last characters.
-TAIL = 200
-#: Weight of the priors against the counts of a round, at any corpus size.
-PRIOR_WEIGHT = 1.0
+#: Observations that each row of a prior table stands for: much for a few posts, nothing against a corpus.
+PRIOR_COUNT = 2000
 
 # Prior tables, one row per state. Features: how the unit ends and how long it is, share of links among its words,
 # separators per word, share of repeated words, share of numbers, prices and product marks.
@@ -46,26 +45,26 @@ BINS = [t.shape[1] for t in TABLES]
 LINK_MARK, ANCHOR = "\x01", "\x02"
 QUOTE_TAG = regex.compile(r"\[quote[^\]]*\]|\[/quote\]|<blockquote[^>]*>|</blockquote>", regex.I)
 CODE = regex.compile(r"\[code\].*?(?:\[/code\]|\Z)|<pre\b.*?(?:</pre>|\Z)", regex.I | regex.S)
-ATTRIBUTION = regex.compile(r"^[^\n]{1,100}:[ \t]*\n(?=\s*(?:>|&gt;))", regex.M)
+ATTRIBUTION = regex.compile(r"^[^\n]+:[ \t]*\n(?=\s*(?:>|&gt;))", regex.M)
 QUOTED_LINE = regex.compile(r"^[ \t]*(?:>|&gt;).*$", regex.M)
-SIGNATURE = regex.compile(r"\n(?:--[ \t]*|_{3,}[ \t]*)(?:\n[^\n]*){0,4}\s*\Z|\n~~[^\n]*(?:\n[^\n]*)?~~\s*\Z")
-TOP = "example|test|invalid|com|net|org|info|biz|io|de|fr|es|ru|cn|uk|eu"
-URL = re.compile(
-    rf"(?:h(?:tt|xx)ps?://|www(?:\.| dot ))[\w-]+(?:(?:\.| dot )[\w-]+)*(?:/[^\s\[\]<>|\"]*)?(?: dot \w+\?[^\s\[\]<>|\"]*)?"
-    rf"|\b[\w-]+(?:(?:\.| dot )[\w-]+)*(?:\.| dot )(?:{TOP})\b(?:/[^\s\[\]<>|\"]*)?(?: dot \w+\?[^\s\[\]<>|\"]*)?",
-    re.I,
-)
-ANCHORED = regex.compile(r"\[url=([^\]]*)\](.*?)\[/url\]|<a\s[^>]*>(.*?)</a>|\[([^\[\]\n]{1,200})\]\((?=\S)([^()\s]+)\)", regex.I | regex.S)
+SIGNATURE = regex.compile(r"\n(?:--[ \t]*|_{3,}[ \t]*)(?:\n(?!--[ \t]*\n|_{3,}[ \t]*\n)[^\n]*)*\Z|\n~~[^\n]*(?:\n[^\n]*)?~~\s*\Z")
+# a host is labels joined by points (or by the word dot), the last one of letters in one case
+LABELS = r"[\w-]+(?:(?:\.| dot )[\w-]+)*"
+PATH = r"(?:/[^\s\[\]<>|\"]*)?(?: dot \w+\?[^\s\[\]<>|\"]*)?"
+URL = re.compile(rf"(?:(?i:h(?:tt|xx)ps?://|www(?:\.| dot ))){LABELS}{PATH}|\b{LABELS}(?:\.| dot )(?:[a-z]{{2,}}|[A-Z]{{2,}})\b{PATH}")
+ANCHORED = regex.compile(r"\[url=([^\]]*)\](.*?)\[/url\]|<a\s[^>]*>(.*?)</a>|\[([^\[\]\n]+)\]\((?=\S)([^()\s]+)\)", regex.I | regex.S)
 IMAGE = regex.compile(r"\[(img|url)\](.*?)\[/\1\]", regex.I | regex.S)
 BREAK_TAG = regex.compile(r"</?(?:p|div|br|li|ul|ol|h\d|tr|td|table)\b[^>]*>|\[/?(?:list|\*)\]", regex.I)
-ANY_TAG = regex.compile(r"<[^<>\n]{1,300}>|\[/?[a-z*]{1,10}(?:=[^\]\n]*)?\]", regex.I)
+ANY_TAG = regex.compile(r"<[^<>\n]+>|\[/?[a-z*]+(?:=[^\]\n]*)?\]", regex.I)
 SENTENCE = re.compile(r"([.!?…][\"')\]»”]{0,2})[ \t]+(?=[^\s\d])|([。！？])(?=.)")
-LINK_SIGN = re.compile(rf"://|www| dot |\.(?:{TOP})\b", re.I)
+LINK_SIGN = re.compile(r"://| dot |[\w-]\.[A-Za-z]{2}")
 WORD = regex.compile(r"[\x01]|[\x02]?[\p{L}\p{M}\p{N}]+(?:['’-][\p{L}\p{M}\p{N}]+)*")
+ASCII_WORD = re.compile(r"\x01|\x02?[A-Za-z0-9]+(?:['-][A-Za-z0-9]+)*")  # the same for ASCII
+ANCHOR_WORD = regex.compile(r"[\p{L}\p{M}\p{N}]+")
 HAN = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 SEPARATOR = re.compile(r"[,;|•·/#*\t、，；]|[  ][-–—][  ]|[^\s.!?…:,;][  ]{2,}(?=\S)")
-ENDING = re.compile(r"[.!?…。！？][\"')\]»”*_]*[\s\W\x01]*\Z")
-MARK = regex.compile(r"[$€£¥₽]\s?\d|\d+\s?[$€£¥₽]|\b(?:SKU|Art|ref|mod|No)\b\.?\s?\d+|\d{2,}|\d+x\b|#\w", regex.I)
+AFTER, STOP = re.compile(r"[\W_]*"), re.compile(r"[.!?…。！？।؟۔]")
+MARK = re.compile(r"[$€£¥₽]\s?\d|\d+\s?[$€£¥₽]|\d{2,}|\d+x\b|#\w")
 
 
 def own_text(text: str) -> str:
@@ -93,7 +92,7 @@ def own_text(text: str) -> str:
 
 def _anchor(m: regex.Match) -> str:
     inner = m.group(2) or m.group(3) or m.group(4) or ""
-    return " " + LINK_MARK + " " + " ".join(ANCHOR + w for w in regex.findall(r"[\p{L}\p{M}\p{N}]+", inner)) + " "
+    return " " + LINK_MARK + " " + " ".join(ANCHOR + w for w in ANCHOR_WORD.findall(inner)) + " "
 
 
 def units(text: str) -> list[str]:
@@ -112,14 +111,16 @@ def units(text: str) -> list[str]:
 
 def observe(unit: str) -> tuple[int, int]:
     """(observation, words) of a unit; the observation packs the bins of the five features."""
-    words = WORD.findall(unit)
-    han = 0 if unit.isascii() else len(HAN.findall(unit))
+    lower, ascii_ = unit.lower(), unit.isascii()
+    words = (ASCII_WORD if ascii_ else WORD).findall(lower)
+    han = 0 if ascii_ else len(HAN.findall(unit))
     n = max(1, len(words) + han // 2)
-    links = sum(w[0] in (LINK_MARK, ANCHOR) for w in words)
-    plain = [w.lower() for w in words if w[0] not in (LINK_MARK, ANCHOR)]
+    plain = [w for w in words if w[0] > ANCHOR] if LINK_MARK in unit or ANCHOR in unit else words
+    links = len(words) - len(plain)
     length = n - links
     size = 0 if length <= 5 else 1 if length <= 12 else 2 if length <= 25 else 3
-    ended = bool(ENDING.search(unit, max(0, len(unit) - TAIL))) and length >= 2
+    # a sentence's end is among the signs behind the last word
+    ended = length >= 2 and STOP.search(AFTER.match(unit[::-1]).group()) is not None
     end = (4 if length <= 60 else 5) if ended else size
     share = links / n
     link = 0 if not links else 1 if share < 0.2 else 2 if share < 0.6 else 3
@@ -129,14 +130,14 @@ def observe(unit: str) -> tuple[int, int]:
         grams = [unit[i : i + 2] for i in range(len(unit) - 1)]
         repeated = 1 - len(set(grams)) / max(1, len(grams))
     else:
-        repeated = 1 - len(set(plain)) / max(1, len(plain))
+        repeated = 1 - len(set(plain)) / len(plain) if plain else 0.0
     rep = 0 if repeated < 0.2 else 1 if repeated < 0.4 else 2 if repeated < 0.6 else 3
-    rate = len(MARK.findall(unit)) / n
+    rate = len(MARK.findall(lower)) / n
     marks = 0 if rate < 0.05 else 1 if rate < 0.25 else 2
     code = 0
     for value, bins in zip((end, link, separators, rep, marks), BINS, strict=True):
         code = code * bins + value
-    return code, n + (LINK_WORDS - 1) * sum(w == LINK_MARK for w in words)
+    return code, n + (LINK_WORDS - 1) * lower.count(LINK_MARK)
 
 
 def _observations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,13 +185,15 @@ def _padded(obs: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.
         i = j
 
 
-def expected_counts(obs: list[np.ndarray], model: Model) -> np.ndarray:
-    """Start, transition and observation counts (flat) by forward and backward passes, scaled per step."""
+def expected_counts(obs: list[np.ndarray], model: Model, weights: np.ndarray | None = None) -> np.ndarray:
+    """Start, transition and observation counts (flat) by forward and backward passes, scaled per step; a sequence counts as
+    often as its weight says."""
     emit = np.exp(model.emissions())
     k, size = len(STATES), len(emit)
     start, moves, seen = np.zeros(k), np.zeros((k, k)), np.zeros((size, k))
-    for _, n, grid in _padded(obs):
-        steps = grid.shape[1]
+    weights = np.ones(len(obs)) if weights is None else weights
+    for part, n, grid in _padded(obs):
+        steps, weight = grid.shape[1], weights[part][:, None]
         live = np.arange(steps)[None, :] < n[:, None]
         e = emit[grid] * live[:, :, None] + ~live[:, :, None]
         f = np.zeros(e.shape)
@@ -200,7 +203,7 @@ def expected_counts(obs: list[np.ndarray], model: Model) -> np.ndarray:
             a = np.where(live[:, t, None], (f[:, t - 1] @ model.moves) * e[:, t], f[:, t - 1])
             f[:, t] = a / a.sum(1, keepdims=True)
         b = np.ones((len(n), k))
-        post = f[:, -1] * live[:, -1, None]
+        post = f[:, -1] * live[:, -1, None] * weight
         np.add.at(seen, grid[:, -1], post)
         if steps == 1:
             start += post.sum(0)
@@ -208,11 +211,11 @@ def expected_counts(obs: list[np.ndarray], model: Model) -> np.ndarray:
             on = live[:, t + 1]
             pair = f[:, t, :, None] * model.moves[None] * (e[:, t + 1] * b)[:, None, :]
             pair /= pair.sum((1, 2), keepdims=True)
-            moves += pair[on].sum(0)
+            moves += (pair * weight[:, :, None])[on].sum(0)
             b = np.where(on[:, None], (e[:, t + 1] * b) @ model.moves.T, b)
             b /= b.sum(1, keepdims=True)
             post = f[:, t] * b
-            post = post / post.sum(1, keepdims=True) * live[:, t, None]
+            post = post / post.sum(1, keepdims=True) * live[:, t, None] * weight
             np.add.at(seen, grid[:, t], post)
             if t == 0:
                 start += post.sum(0)
@@ -243,10 +246,14 @@ def labels(obs: list[np.ndarray], model: Model) -> list[np.ndarray]:
 
 
 def settled(path: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Labels of a post where a list has at least LIST_WORDS words and a menu MENU_LINES lines; less is a remark, hence prose."""
+    """Labels of a post where a list has at least LIST_WORDS words, and a menu MENU_LINES lines or the words of as many lists;
+    less is a remark, hence prose."""
     edges = np.flatnonzero(np.diff(path)) + 1
     for a, b in zip([0, *edges], [*edges, len(path)], strict=True):
-        if b > a and path[a] != PROSE and (words[a:b].sum() < LIST_WORDS or (path[a] == MENU and b - a < MENU_LINES)):
+        if a == b:
+            continue
+        least = MENU_LINES * LIST_WORDS if path[a] == MENU and b - a < MENU_LINES else LIST_WORDS
+        if path[a] != PROSE and words[a:b].sum() < least:
             path[a:b] = PROSE
     return path
 
@@ -259,7 +266,7 @@ def _counter(model: Model):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
-            counts = expected_counts(_sequences(batch, 0), model)
+            counts = expected_counts(_sequences(batch, 0), model, batch.column(1).to_numpy().astype(np.float64))
             total = counts if total is None else total + counts
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["i", "c"])
@@ -267,18 +274,32 @@ def _counter(model: Model):
     return work
 
 
-def fit(observations: DataFrame, rounds: int = ROUNDS) -> Model:
-    """Expectation maximisation over all posts. The driver gets one number per parameter, whatever the corpus."""
+def updated(model: Model, flat: np.ndarray) -> Model:
+    """The model after a round: expected counts, and those the prior tables stand for."""
+    k = len(STATES)
+    start, moves, seen = flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(*BINS, k)
+    blend = lambda c, p: (c + PRIOR_COUNT * p) / (c.sum() + PRIOR_COUNT)
+    tables = [np.stack([blend(seen[..., s].sum(tuple(i for i in range(len(BINS)) if i != f)), TABLES[f][s]) for s in range(k)]) for f in range(len(BINS))]
+    return Model(blend(start, START), np.stack([blend(moves[s], MOVES[s]) for s in range(k)]), tables)
+
+
+def _change(a: Model, b: Model) -> float:
+    return max(float(np.abs(x - y).max()) for x, y in zip([a.start, a.moves, *a.tables], [b.start, b.moves, *b.tables], strict=True))
+
+
+def fit(observations: DataFrame, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> Model:
+    """Expectation maximisation over all posts until no parameter changes by more than ``tolerance``. Posts of equal
+    observations are one row with a weight. The driver gets one number per parameter, whatever the corpus."""
     model, k, size = PRIOR, len(STATES), int(np.prod(BINS))
+    distinct = stage(observations.filter(F.size("obs") > 0).groupBy("obs").agg(F.count("*").alias("weight")), "sequences")
     for _ in range(rounds):
-        counts = observations.select("obs").mapInArrow(_counter(model), "i int, c double").groupBy("i").agg(F.sum("c").alias("c")).collect()
+        counts = distinct.mapInArrow(_counter(model), "i int, c double").groupBy("i").agg(F.sum("c").alias("c")).collect()
         flat = np.zeros(k + k * k + size * k)
         for row in counts:
             flat[row["i"]] = row["c"]
-        start, moves, seen = flat[:k], flat[k : k + k * k].reshape(k, k), flat[k + k * k :].reshape(*BINS, k)
-        blend = lambda c, p: (c + PRIOR_WEIGHT * max(c.sum(), 1.0) * p) / (c.sum() + PRIOR_WEIGHT * max(c.sum(), 1.0))
-        tables = [np.stack([blend(seen[..., s].sum(tuple(i for i in range(len(BINS)) if i != f)), TABLES[f][s]) for s in range(k)]) for f in range(len(BINS))]
-        model = Model(blend(start, START), np.stack([blend(moves[s], MOVES[s]) for s in range(k)]), tables)
+        before, model = model, updated(model, flat)
+        if _change(before, model) <= tolerance:
+            break
     return model
 
 

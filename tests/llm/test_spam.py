@@ -76,3 +76,40 @@ def test_labels_equal_the_best_of_all_paths():
         o = rnd.integers(0, len(emit), n)
         best = max(product(range(4), repeat=n), key=lambda p: np.log(spam.PRIOR.start[p[0]]) + sum(emit[x, s] for x, s in zip(o, p, strict=True)) + sum(moves[a, b] for a, b in zip(p, p[1:], strict=False)))
         assert list(spam.labels([o], spam.PRIOR)[0]) == list(best)
+
+
+def test_weights_count_a_sequence_as_often():
+    rnd = np.random.default_rng(4)
+    obs = [rnd.integers(0, int(np.prod(spam.BINS)), n) for n in (1, 3, 8)]
+    many = spam.expected_counts([obs[0], obs[1], obs[1], obs[2], obs[2], obs[2]], spam.PRIOR)
+    assert spam.expected_counts(obs, spam.PRIOR, np.array([1.0, 2.0, 3.0])) == pytest.approx(many, rel=1e-9, abs=1e-12)
+
+
+def test_the_prior_fades_with_the_data():
+    size = int(np.prod(spam.BINS))
+    flat = np.concatenate([np.array([0, 1.0, 0, 0]), np.zeros(16), np.zeros(size * 4)])
+    assert spam.updated(spam.PRIOR, flat).start == pytest.approx(spam.START, abs=1e-3)
+    assert spam.updated(spam.PRIOR, flat * 1e8).start[1] > 0.999
+
+
+def test_fitting_ends_when_nothing_changes(spark):
+    df = spark.createDataFrame([(i, PROSE if i % 4 else LINKS) for i in range(40)], "doc_id long, text string")
+    observations = df.mapInArrow(spam._observations, "doc_id long, obs array<int>, words array<int>")
+    done = spam.fit(observations)
+    assert spam._change(spam.fit(observations, tolerance=spam.TOLERANCE / 5), done) < 0.05
+
+
+def test_nothing_is_cut_off():
+    """Ends, attributions, anchors and tags of any length."""
+    assert spam.observe("It works" + " " * 500 + ".")[0] // int(np.prod(spam.BINS[1:])) == 4
+    assert spam.own_text("x" * 300 + " wrote:\n> quoted\nmine").split() == ["mine"]
+    anchor = "word " * 100
+    assert spam.units(f"[{anchor}](http://a.test/x)")[0].count(spam.ANCHOR) == 100
+    assert spam.units("<b " + "c" * 500 + ">bold</b>") == ["bold"]
+
+
+def test_links_of_any_host():
+    for link in ("www.kettle.museum/p?x=1", "http://a-b.example", "otter.shop/a", "badger dot kettle dot travel", "hxxps://x dot coop/a", "KETTLE.ORG"):
+        assert spam.units(f"see {link} now") == [f"see {spam.LINK_MARK} now"], link
+    for text in ("It is 3.5 or 4.25e9", "e.g. this", "works.Then it stopped"):
+        assert spam.LINK_MARK not in "".join(spam.units(text)), text

@@ -52,9 +52,10 @@ def seeded_hash_sql(seed: int, *columns: str) -> str:
 
 
 def edge_weight(confidence: Column, value: Column, evidence: Column) -> Column:
-    """Confidence, else value, else the tier of evidence, else a default."""
+    """The first of confidence and value that is not blank, if it is a finite number; else the tier of evidence, else a default."""
+    given = F.coalesce(F.nullif(F.trim(confidence), F.lit("")), F.nullif(F.trim(value), F.lit("")))
     tier = reduce(lambda w, kv: w.when(F.lower(F.trim(evidence)) == kv[0], kv[1]), EVIDENCE_WEIGHT.items(), F.when(F.lit(False), F.lit(None).cast("double")))
-    return F.coalesce(safe_double(confidence), safe_double(value), tier, F.lit(DEFAULT_WEIGHT))
+    return F.coalesce(safe_double(given), tier, F.lit(DEFAULT_WEIGHT))
 
 
 def log_factorial(n: Column) -> Column:

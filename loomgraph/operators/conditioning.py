@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.running import running_sums
-from loomgraph.functions.scalars import by_rules, edge_weight
+from loomgraph.functions.scalars import by_rules, edge_weight, first_non_empty
 from loomgraph.session import broadcast_if_small
 
 PROPAGATING = ["mechanistic", "weak_mechanistic_or_observational"]
@@ -37,7 +37,7 @@ class Rules:
             df = spark.createDataFrame(rows, schema)
             return F.broadcast(df) if len(rows) <= MOST_RULES else df
 
-        others = sorted(({*sabs.values(), "G", "RNA", "P"} | {e for _, e in id_rules}) - set(priority))
+        others = sorted(({*sabs.values(), "G", "RNA", "P", "PW", "CM", "S"} | {e for _, e in id_rules}) - set(priority))
         return cls(
             make(list(sabs.items()), "sab string, entity string"),
             id_rules,
@@ -77,27 +77,39 @@ def go_entity(namespace: Column, name: Column) -> Column:
 
 
 def row_entities(nodes: DataFrame, rules: Rules, ontology: DataFrame | None = None) -> DataFrame:
-    """(node_id, entity) of every Concept or Code row: an ignored vocabulary gives none; ENSEMBL goes by the id's prefix; GO
-    terms go by ``ontology`` (accession, namespace) if it is given; else the vocabulary decides, else the first id rule that
-    matches."""
-    if ontology is not None:
-        spaces = ontology.select(F.col("accession").alias("node_id"), go_entity(F.col("namespace"), F.lit(None).cast("string")).alias("_go"))
-        nodes = nodes.join(broadcast_if_small(spaces), "node_id", "left")
+    """(node_id, entity) of every Concept or Code row, with its ``parent_id`` if ``nodes`` has one.
+
+    An ignored vocabulary gives none. Terms of GO and GOCC, and codes GO:..., go by ``ontology`` (accession, namespace), else
+    by the words of their name, else are pathways. ENSEMBL ids go by the prefix of their local part. Else the vocabulary
+    decides, else the first id rule that matches.
+    """
     rows = nodes.filter(F.lower("label").isin("concept", "code")).join(rules.sabs.withColumnRenamed("entity", "_e"), "sab", "left")
     local = F.element_at(F.split("node_id", ":"), -1)
-    ensembl = F.when(local.startswith("ENST"), "RNA").when(local.startswith("ENSP"), "P").otherwise("G")
-    entity = F.when(F.col("sab") == "ENSEMBL", ensembl).otherwise(F.coalesce("_e", by_rules(F.col("node_id"), rules.id_rules)))
+    ensembl = F.when(local.startswith("ENSG"), "G").when(local.startswith("ENST"), "RNA").when(local.startswith("ENSP"), "P")
+    go = F.coalesce(F.col("sab").isin("GO", "GOCC"), F.lit(False)) | ((F.lower("label") == "code") & F.col("node_id").startswith("GO:"))
+    by_name = F.coalesce(go_entity(F.lit(None).cast("string"), F.col("name")), F.lit("PW"))
     if ontology is not None:
-        entity = F.coalesce("_go", entity)
+        spaces = ontology.select(F.col("accession").alias("node_id"), go_entity(F.col("namespace"), F.lit(None).cast("string")).alias("_go"))
+        rows = rows.join(broadcast_if_small(spaces), "node_id", "left")
+        by_name = F.coalesce("_go", by_name)
+    entity = F.when(go, by_name).otherwise(F.coalesce(F.when(F.col("sab") == "ENSEMBL", ensembl), "_e", by_rules(F.col("node_id"), rules.id_rules)))
     if rules.ignored:
         entity = F.when(F.col("sab").isin(rules.ignored), F.lit(None).cast("string")).otherwise(entity)
-    return rows.select("node_id", entity.alias("entity"))
+    return rows.select(*(c for c in ("parent_id",) if c in nodes.columns), "node_id", entity.alias("entity"))
 
 
-def node_entities(nodes: DataFrame, rules: Rules) -> DataFrame:
+def node_entities(nodes: DataFrame, rules: Rules, ontology: DataFrame | None = None) -> DataFrame:
     """(node_id, entity): of several rows of an id, the entity of highest priority, those without one last and by name; null
-    if no row has an entity."""
-    rows = row_entities(nodes, rules).join(rules.priority, "entity", "left")
+    if no row has an entity.
+
+    If ``nodes`` has a column ``parent_id``, only Code rows count, each for its parent concept; a code without a parent counts
+    for none. Without that column a Concept or Code row counts for its own id.
+    """
+    if "parent_id" in nodes.columns:
+        rows = row_entities(nodes.filter(F.lower("label") == "code"), rules, ontology).filter(first_non_empty(F.col("parent_id")).isNotNull()).select(F.col("parent_id").alias("node_id"), "entity")
+    else:
+        rows = row_entities(nodes, rules, ontology)
+    rows = rows.join(rules.priority, "entity", "left")
     return rows.groupBy("node_id").agg(F.min("prio").alias("prio")).join(rules.priority, "prio", "left").select("node_id", "entity")
 
 

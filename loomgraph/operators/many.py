@@ -7,6 +7,7 @@ through the driver. Larger graphs are left to the joins of ``propagate``.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -64,6 +65,17 @@ def run(tables: list[DataFrame], ids: DataFrame, work: Callable[[dict, int, int]
     return found.join(ids.select(F.col("id").cast("int").alias("id"), F.col("node_id").alias("pathway")), "id").select("perm", "pathway", "null")
 
 
+def hashes(seed: int, perm: int, ends: list[str]) -> np.ndarray:
+    """``scalars.seeded_hash`` of the seed, the permutation and the texts in ``ends`` (each with its leading bar)."""
+    start = hashlib.md5(f"{seed}|{perm}".encode())
+    out = np.empty(len(ends), np.int64)
+    for i, end in enumerate(ends):
+        h = start.copy()
+        h.update(end.encode())
+        out[i] = int.from_bytes(h.digest()[:8], "big") >> 4
+    return out
+
+
 def propagated(source: np.ndarray, target: np.ndarray, share: np.ndarray, start: np.ndarray, alpha: float, iterations: int) -> np.ndarray:
     """One restart vector after ``iterations`` steps, rescaled to a sum of 1 (zeros stay)."""
     x, n = start, len(start)

@@ -9,7 +9,7 @@ from loomgraph.functions.scalars import seeded_hash
 from loomgraph.operators import many
 from loomgraph.operators.conditioning import row_normalized, unit_operator
 from loomgraph.operators.propagate import pagerank_vectors
-from loomgraph.session import BROADCAST_BYTES, numbered, stage
+from loomgraph.session import numbered, stage
 
 #: Edges of a bucket in which swap partners are found.
 SWAP_BUCKET = 1024
@@ -25,14 +25,29 @@ def seed_universe(members: DataFrame, graph_nodes: DataFrame) -> DataFrame:
 def draws(universe: DataFrame, n: int, permutations: int, seed: int = 42) -> DataFrame:
     """(perm, node_id): ``n`` of the universe per permutation, without replacement, by seeded hashes.
 
-    Only ids below a hash cutoff that passes about 4n + 64 of them are ranked, so no permutation sorts the universe.
+    Only ids below a hash cutoff that passes about 4n + 64 of them are ranked, so no permutation sorts the universe. A
+    permutation in which fewer than n pass is drawn again from all ids.
     """
     total = universe.count()
     share = min(1.0, (4 * n + 64) / max(1, total))
-    rows = universe.select("node_id", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))).alias("perm")).withColumn("_h", seeded_hash(seed, "perm", "node_id"))
-    rows = rows.filter(F.col("_h") <= int(share * (1 << 60)))
+    perms = spark_range(universe, permutations)
+    rows = universe.select("node_id").join(F.broadcast(perms)).withColumn("_h", seeded_hash(seed, "perm", "node_id"))
     w = Window.partitionBy("perm").orderBy("_h", "node_id")
-    return rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).select("perm", "node_id")
+    first = lambda df: df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).select("perm", "node_id")
+    if share == 1.0:
+        return first(rows)
+    below = stage(first(rows.filter(F.col("_h") <= int(share * (1 << 60)))), "draws")
+    whole = below.groupBy("perm").count().filter(F.col("count") >= min(n, total)).select("perm")
+    short = perms.join(whole, "perm", "left_anti")
+    if short.isEmpty():
+        return below
+    again = universe.select("node_id").join(F.broadcast(short)).withColumn("_h", seeded_hash(seed, "perm", "node_id"))
+    return below.join(F.broadcast(short), "perm", "left_anti").unionByName(first(again))
+
+
+def spark_range(df: DataFrame, n: int) -> DataFrame:
+    """(perm): 0 to n - 1, as many rows as permutations are asked for."""
+    return df.sparkSession.range(n).select(F.col("id").cast("int").alias("perm"))
 
 
 def seed_permutation_null(transitions: DataFrame, drawn: DataFrame, n: int, pathways: DataFrame, permutations: int, alpha: float, iterations: int) -> DataFrame:
@@ -186,33 +201,71 @@ def gene_strata(genes: DataFrame, kept_edges: DataFrame, bins: int = 10) -> Data
 def member_mean_null(members: DataFrame, strata: DataFrame, scores: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
     """(perm, pathway, null): mean score of genes drawn from the strata of a pathway's members, none twice in a pathway.
 
-    Genes of a stratum are numbered in a seeded random order; a pathway with m members there takes m neighbours of that
-    ring from a random place. Their sum is a difference of two running sums along the ring, so a draw is two joins by place
-    for each pathway and stratum, whatever m is, never lists. If the running sums are too many to send to every task,
-    batches of permutations are written one after another.
+    Only genes with a score count, as members and to be drawn; a pathway without any has no row. In each permutation the genes of
+    a stratum stand in a new seeded random order, as a ring, and a pathway with m members there takes m neighbours from a
+    place of its own; so each permutation is an independent draw. Their sum is a difference of two running sums. Tasks run
+    whole permutations if genes and memberships fit them (``many``), else they are joins, in written batches of permutations.
     """
-    order = numbered(strata.withColumn("_h", seeded_hash(seed, "gene")).sort("stratum", "_h", "gene"), "i", "strata")
-    order = stage(order.join(scores.withColumnRenamed("node_id", "gene"), "gene", "left").fillna(0.0, ["score"]), "strata")
-    spans = stage(order.groupBy("stratum").agg(F.min("i").alias("first"), F.count("*").alias("size"), F.sum("score").alias("_all")), "spans")  # bins x bins rows
-    before = F.coalesce(F.sum("score").over(Window.partitionBy("stratum").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    ring = order.withColumn("_before", before).join(F.broadcast(spans), "stratum")
-    turns = F.array(F.struct((F.col("first") + F.col("i")).alias("at"), F.col("_before").alias("sum")), F.struct((F.col("first") + F.col("i") + F.col("size")).alias("at"), (F.col("_before") + F.col("_all")).alias("sum")))
-    ring = stage(ring.select(F.explode(turns).alias("_t")).select("_t.at", "_t.sum"), "ring")  # twice round
-    small = ring.count() * 48 <= BROADCAST_BYTES
-    sent = F.broadcast if small else lambda df: df
-    loads = members.join(strata, "gene").groupBy("pathway", "stratum").agg(F.count("*").alias("_m"))
-    loads = stage(loads.join(F.broadcast(spans), "stratum").select("pathway", "stratum", "_m", "first", "size"), "loads")
-    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    batch, out = permutations if small else BATCH, None
-    for start in range(0, permutations, batch):
-        perms = F.sequence(F.lit(start), F.lit(min(start + batch, permutations) - 1))
-        # by pathway first, so that the many rows of permutations are added up where they are
-        rows = loads.repartition(parts, "pathway").withColumn("perm", F.explode(perms))
-        place = 2 * F.col("first") + F.pmod(seeded_hash(seed, "perm", "pathway", "stratum"), F.col("size"))
-        rows = rows.select("perm", "pathway", "_m", place.alias("_from"), (place + F.col("_m")).alias("_to"))
-        rows = rows.join(sent(ring.toDF("_from", "_low")), "_from").join(sent(ring.toDF("_to", "_high")), "_to")
-        part = rows.groupBy("perm", "pathway").agg((F.sum(F.col("_high") - F.col("_low")) / F.sum("_m")).alias("null"))
-        if batch < permutations:
-            part = stage(part, "nulls")
+    genes = stage(strata.join(scores.withColumnRenamed("node_id", "gene"), "gene").select("gene", "stratum", "score"), "genes")
+    sizes = genes.groupBy("stratum").agg(F.count("*").alias("size"))  # bins x bins rows
+    loads = members.join(genes.select("gene", "stratum"), "gene").groupBy("pathway", "stratum").agg(F.count("*").alias("_m"))
+    loads = stage(loads.join(F.broadcast(sizes), "stratum"), "loads")
+    if genes.count() + loads.count() <= many.GRAPH_EDGES:
+        return _member_null_in_tasks(genes, loads, permutations, seed)
+    out = None
+    for start in range(0, permutations, BATCH):
+        perms = spark_range(genes, permutations).filter(F.col("perm").between(start, start + BATCH - 1))
+        ring = genes.join(F.broadcast(perms)).withColumn("_h", seeded_hash(seed, "perm", "gene"))
+        place = Window.partitionBy("perm", "stratum").orderBy("_h", "gene")
+        upto = F.sum("score").over(place.rowsBetween(Window.unboundedPreceding, 0))
+        ring = stage(ring.select("perm", "stratum", F.row_number().over(place).alias("_at"), upto.alias("_sum")), "ring")
+        whole = ring.groupBy("perm", "stratum").agg(F.max_by("_sum", "_at").alias("_all"))
+        rows = loads.join(F.broadcast(perms)).withColumn("_from", F.pmod(seeded_hash(seed, "perm", "pathway", "stratum"), F.col("size")).cast("int"))
+        rows = rows.withColumn("_to", F.col("_from") + F.col("_m")).withColumn("_end", F.when(F.col("_to") > F.col("size"), F.col("_to") - F.col("size")).otherwise(F.col("_to")))
+        for name, at in (("_low", "_from"), ("_high", "_end")):  # the sum up to place 0 has no row
+            rows = rows.join(ring.select("perm", "stratum", F.col("_at").cast("long").alias(at), F.col("_sum").alias(name)), ["perm", "stratum", at], "left").fillna(0.0, [name])
+        rows = rows.join(whole, ["perm", "stratum"])
+        drawn = F.col("_high") - F.col("_low") + F.when(F.col("_to") > F.col("size"), F.col("_all")).otherwise(0.0)
+        part = stage(rows.groupBy("perm", "pathway").agg((F.sum(drawn) / F.sum("_m")).alias("null")), "nulls")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _member_null_in_tasks(genes: DataFrame, loads: DataFrame, permutations: int, seed: int) -> DataFrame:
+    spark = genes.sparkSession
+    tasks = min(permutations, spark.sparkContext.defaultParallelism)
+    rows = genes.select(F.col("gene").alias("key"), "stratum", "score", F.lit(0).cast("long").alias("m"), F.lit(False).alias("load"))
+    rows = rows.unionByName(loads.select(F.col("pathway").alias("key"), "stratum", F.lit(0.0).alias("score"), F.col("_m").alias("m"), F.lit(True).alias("load")))
+    sent = stage(rows, "rings").withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1)))).repartitionById(tasks, "task")
+
+    def each(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        batches = list(batches)
+        if not batches:
+            return
+        t = pa.Table.from_batches(batches)
+        first, is_load = int(t.column("task")[0].as_py()), t.column("load").to_numpy()
+        part = lambda mask: t.filter(pa.array(mask)).sort_by([("key", "ascending"), ("stratum", "ascending")])
+        g, w = part(~is_load), part(is_load)
+        names, stratum = np.unique(g.column("stratum").to_pylist(), return_inverse=True)
+        keys, score, size = g.column("key").to_pylist(), g.column("score").to_numpy(), np.bincount(stratum)
+        start = np.cumsum(size) - size
+        pathways, of = np.unique(w.column("key").to_pylist(), return_inverse=True)
+        m, in_ = w.column("m").to_numpy(), np.searchsorted(names, w.column("stratum").to_pylist())
+        ends = [f"|{p}|{s}" for p, s in zip(w.column("key").to_pylist(), w.column("stratum").to_pylist(), strict=True)]
+        gene_ends = [f"|{k}" for k in keys]
+        for perm in range(first, permutations, tasks):
+            order = np.lexsort((many.hashes(seed, perm, gene_ends), stratum))  # genes are in the order of their names
+            sums = np.concatenate([[0.0], np.cumsum(score[order])])
+            low = start[in_] + many.hashes(seed, perm, ends) % size[in_]
+            high = low + m
+            over = high > start[in_] + size[in_]
+            high = np.where(over, high - size[in_], high)
+            whole = sums[start[in_] + size[in_]] - sums[start[in_]]
+            total = np.bincount(of, sums[high] - sums[low] + np.where(over, whole, 0.0), len(pathways))
+            null = total / np.bincount(of, m, len(pathways))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pathways), perm, "int32")), pa.array(pathways.tolist(), pa.string()), pa.array(null)], ["perm", "pathway", "null"])
+
+    return sent.mapInArrow(each, "perm int, pathway string, null double")

@@ -32,6 +32,11 @@ class Placement:
     buckets: int
     heavy: DataFrame
     light: DataFrame
+    largest: float = 0.0
+
+    def overfull(self) -> bool:
+        """Whether a key alone has more than a task's fair share."""
+        return self.largest > 1
 
     def _bucket(self) -> Column:
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
@@ -92,7 +97,7 @@ def place(loads: DataFrame, keys: list[str], tasks: int | None = None) -> Placem
     schema = T.StructType([T.StructField(k, types[k]) for k in keys] + [T.StructField("_shards", T.ArrayType(T.IntegerType()))])
     heavy_df = spark.createDataFrame([(*(row[k] for k in keys), s) for row, s in zip(heavy, shards, strict=True)], schema)
     light_df = spark.createDataFrame([(b, of_bucket.get(b, b % tasks)) for b in range(buckets)], "_bucket int, _task int")
-    return Placement(keys, tasks, buckets, heavy_df, light_df)
+    return Placement(keys, tasks, buckets, heavy_df, light_df, max((row["load"] for row in heavy), default=0) * tasks / max(total, 1))
 
 
 def key_profiles(edges: DataFrame, nodes: DataFrame, tasks: int | None = None) -> DataFrame:

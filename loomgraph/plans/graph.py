@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.ids import plain_id, plain_id_sql, term, term_sql
-from loomgraph.operators.conditioning import Rules
+from loomgraph.operators.conditioning import COMPARTMENTS, Rules
 from loomgraph.session import table
 
 # Entity classes of the vocabularies here, their priority, and what each predicate conveys.
@@ -44,6 +44,7 @@ MEMBER_FORWARD = ["pathway_associated_with_gene", "has_signature_gene", "process
 MEMBER_REVERSE = ["inverse_pathway_associated_with_gene", "inverse_has_signature_gene", "gene_plays_role_in_process"]
 GENE_SABS = ["HGNC", "NCBI", "ENTREZ", "NCBIGENE"]
 PATHWAY_SABS = ["MSIGDB", "REACTOME", "GO", "WP"]
+# Order in which vocabularies describe an id, when scored and when exported.
 SAB_PRIORITY = ["MSIGDB", "REACTOME", "GO", "WIKIPATHWAYS", "KEGG", "WP", "HGNC", "NCBIGENE", "ENTREZ", "NCBI", "UNIPROTKB", "PR", "MONDO", "OMIM", "DOID"]
 EXPORT_PRIORITY = ["HGNC", "NCBIGENE", "MSIGDB", "REACTOME", "GO", "MONDO", "OMIM"]
 
@@ -95,9 +96,10 @@ refs AS (SELECT node_id FROM reference_concepts WHERE role = 'pathway')"""
 
 TYPING = f"""priority(entity, prio) AS (VALUES {", ".join(f"('{e}', {i})" for i, e in enumerate(ENTITY_PRIORITY))}),
 sab_entity(sab, entity) AS (VALUES {_values(list(SAB_ENTITY.items()))}),
-row_entity AS (SELECT n.node_id, CASE WHEN n.sab = 'ENSEMBL' THEN CASE
-  WHEN regexp_matches(n.node_id, '(^|:)ENST') THEN 'RNA' WHEN regexp_matches(n.node_id, '(^|:)ENSP') THEN 'P' ELSE 'G' END
- ELSE coalesce(s.entity, {" ".join(["CASE"] + [f"WHEN regexp_matches(n.node_id, '^(?:{p})') THEN '{e}'" for p, e in ID_RULES] + ["END"])}) END AS entity
+row_entity AS (SELECT n.node_id, CASE WHEN coalesce(n.sab IN ('GO', 'GOCC'), false) OR (label = 'code' AND starts_with(n.node_id, 'GO:')) THEN CASE
+  WHEN contains(lower(n.name), 'complex') THEN 'CM' WHEN regexp_matches(lower(n.name), '{"|".join(COMPARTMENTS)}') THEN 'S' ELSE 'PW' END
+ ELSE coalesce(CASE WHEN n.sab = 'ENSEMBL' THEN CASE WHEN regexp_matches(n.node_id, '(^|:)ENSG[^:]*$') THEN 'G' WHEN regexp_matches(n.node_id, '(^|:)ENST[^:]*$') THEN 'RNA'
+  WHEN regexp_matches(n.node_id, '(^|:)ENSP[^:]*$') THEN 'P' END END, s.entity, {" ".join(["CASE"] + [f"WHEN regexp_matches(n.node_id, '^(?:{p})') THEN '{e}'" for p, e in ID_RULES] + ["END"])}) END AS entity
  FROM g_nodes n LEFT JOIN sab_entity s ON n.sab = s.sab WHERE label IN ('concept', 'code')),
 typed AS (SELECT node_id, arg_min(r.entity, p.prio) AS entity FROM row_entity r LEFT JOIN priority p ON r.entity = p.entity GROUP BY 1)"""
 

@@ -7,6 +7,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +18,20 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 
+#: Folder of staged tables within the shared one; tables of each application that are still there.
+JOB_FOLDER = "staged"
+_STAGED: dict[str, set[str]] = {}
 _SHIPPED: set[str] = set()
 
 
+@atexit.register
+def _drop_all() -> None:
+    """At the end of the program, while its session lives; a program that stops its session first calls ``drop_staged``."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        drop_staged(spark)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers of all executors, once per application, wherever the driver was started."""
     sc = spark.sparkContext
@@ -59,10 +72,49 @@ def _delete(spark: SparkSession, path: str) -> None:
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and return that table: later jobs neither recompute it nor
     lose it with an executor. Columnar and compressed, so smaller than a checkpoint of the same rows."""
-    path = os.path.join(shared_dir(df.sparkSession), f"{name}-{uuid.uuid4().hex}")
+    spark = df.sparkSession
+    path = os.path.join(shared_dir(spark), JOB_FOLDER, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    atexit.register(_delete, df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _STAGED.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession, since: set[str] | None = None) -> None:
+    """Delete the tables that ``stage`` wrote in this application, but those in ``since``."""
+    paths = _STAGED.get(spark.sparkContext.applicationId, set())
+    for path in paths - (since or set()):
+        _delete(spark, path)
+        paths.discard(path)
+
+
+@contextmanager
+def stages(spark: SparkSession) -> Iterator[None]:
+    """Tables staged within the block are deleted at its end, when the results made of them are written."""
+    before = set(_STAGED.get(spark.sparkContext.applicationId, set()))
+    try:
+        yield
+    finally:
+        drop_staged(spark, before)
+
+
+def drop_jobs(spark: SparkSession) -> None:
+    """Delete what earlier applications left in the shared folder, as where one was lost before it could clear up. Only for a
+    folder that no other application uses now."""
+    _delete(spark, os.path.join(shared_dir(spark), JOB_FOLDER))
+    _STAGED.pop(spark.sparkContext.applicationId, None)
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for plans that run within the block; those of before come back after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def estimated_bytes(df: DataFrame, row_overhead: int = 32) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +12,35 @@ from loomgraph.session import stage
 
 
 def benjamini_hochberg(df: DataFrame, p: str, groups: list[str], q: str = "q") -> DataFrame:
-    """q-values within ``groups``; a null p has none and does not count. Ties share a rank, so their order does not
-    matter. Works on distinct p-values per group, which are fewer than rows."""
-    counts = df.filter(F.col(p).isNotNull()).groupBy(*groups, p).agg(F.count("*").alias("_c"))
-    rising = Window.partitionBy(*groups).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn("_rank", F.sum("_c").over(rising)).withColumn("_n", F.sum("_c").over(Window.partitionBy(*groups)))
-    falling = Window.partitionBy(*groups).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.withColumn(q, F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rank")).over(falling)))
-    condition = df[p] == counts[f"{p}"]
-    right = counts.select(*(F.col(g).alias(f"_g_{g}") for g in groups), F.col(p).alias("_p"), q)
-    condition = F.col(p) == F.col("_p")
-    for g in groups:
-        condition = condition & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    return df.join(right, condition, "left").drop("_p", *(f"_g_{g}" for g in groups))
+    """q-values within ``groups``; a null p has none and does not count. Ties share a rank, so their order does not matter.
+
+    Distinct p-values are range-partitioned by group and value, so a large group spreads over several partitions: ranks add the
+    rows of the group's partitions before, minima those of its partitions after.
+    """
+    keys = [f"_g{i}" for i in range(len(groups))]
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.filter(F.col(p).isNotNull()).groupBy(*(F.col(g).alias(k) for g, k in zip(groups, keys, strict=True)), F.col(p).alias("_p")).agg(F.count("*").alias("_c"))
+    rows = stage(counts.repartitionByRange(parts, *keys, "_p").withColumn("_part", F.spark_partition_id()), "ranges")
+    part = [*keys, "_part"]
+
+    def joined(rows: DataFrame, per: DataFrame, columns: list[str]) -> DataFrame:
+        """``per`` has a row for each group and partition."""
+        right = per.select(*(F.col(k).alias(f"_j{k}") for k in part), *columns)
+        same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_j{k}")) for k in part])
+        return rows.join(right, same).drop(*(f"_j{k}" for k in part))
+
+    whole, before = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*part).agg(F.sum("_c").alias("_s"))
+    per = per.withColumn("_before", F.coalesce(F.sum("_s").over(before), F.lit(0))).withColumn("_n", F.sum("_s").over(whole))
+    rank = F.sum("_c").over(Window.partitionBy(*part).orderBy("_p").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_before")
+    rows = joined(rows, per, ["_before", "_n"]).withColumn("_v", F.col("_p") * F.col("_n") / rank)
+    rows = stage(rows.select(*part, "_p", "_v"), "ratios")
+    after = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    per = rows.groupBy(*part).agg(F.min("_v").alias("_s")).withColumn("_after", F.min("_s").over(after))
+    low = F.min("_v").over(Window.partitionBy(*part).orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = joined(rows, per, ["_after"]).withColumn(q, F.least(F.lit(1.0), low, F.col("_after")))
+    same = reduce(Column.__and__, [F.col(p) == F.col("_p"), *(F.col(g).eqNullSafe(F.col(k)) for g, k in zip(groups, keys, strict=True))])
+    return df.join(rows.select(*keys, "_p", q), same, "left").drop("_p", *keys)
 
 
 def ranked(df: DataFrame, groups: list[str], order: list[Column], name: str = "rank") -> DataFrame:
@@ -48,14 +66,15 @@ def ranked_by_range(df: DataFrame, groups: list[str], order: list[Column], name:
     return rows.withColumn(name, place.cast("int")).select(*df.columns, name)
 
 
-def ranking_metrics(df: DataFrame, groups: list[str], relevant: Column, ks: tuple[int, ...] = (10, 20, 50)) -> DataFrame:
+def ranking_metrics(df: DataFrame, groups: list[str], relevant: Column, ks: tuple[int, ...] = (10, 20, 50), counts: DataFrame | None = None) -> DataFrame:
     """Per group of a ranked list (column ``rank``): n, n_relevant, precision, recall, enrichment and NDCG at each k,
     average precision and mean rank of the relevant.
 
     Precision divides by k even if the list is shorter. Without relevant items NDCG, AP and recall are 0, enrichment and
-    mean rank null. Only relevant rows are put in order; the others are counted.
+    mean rank null. Only relevant rows are put in order; the others are counted, or left out if ``counts`` (groups, n) says how
+    many rows each list has.
     """
-    counts = df.groupBy(*groups).agg(F.count("*").alias("n"))
+    counts = df.groupBy(*groups).agg(F.count("*").alias("n")) if counts is None else counts
     rows = df.filter(relevant).select(*groups, "rank")
     rows = rows.withColumn("_hits", F.row_number().over(Window.partitionBy(*groups).orderBy("rank")))
     aggs = [F.count("*").alias("n_relevant"), F.avg(F.col("_hits") / F.col("rank")).alias("ap"), F.avg("rank").alias("mean_rank")]

@@ -1,24 +1,28 @@
 """Resampling of seeds: all splits of a pool, and bootstrap draws, by the linearity of propagation.
 
 The score of a seed set is the mean of its seeds' scores, so a pool of n seeds costs n restart vectors, run as columns of
-one propagation, however many subsets are asked for.
+one propagation, however many sets are asked for. Lists are not sorted: tasks multiply their items' scores with all sets
+and count, for each item whose rank is asked for, the items ahead of it; only counts are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from itertools import combinations
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.scalars import seeded_hash
-from loomgraph.functions.stats import ranked, ranking_metrics
+from loomgraph.functions.stats import ranking_metrics
 from loomgraph.operators.propagate import pagerank_vectors
 
 
-def splits(spark: SparkSession, pool: int, chosen: int) -> DataFrame:
-    """(split, seeds array<int>): every choice of ``chosen`` out of ``pool`` positions, as set bits of the split's number."""
-    rows = spark.range(1 << pool).withColumnRenamed("id", "split").filter(F.bit_count("split") == chosen)
-    positions = F.filter(F.sequence(F.lit(0), F.lit(pool - 1)), lambda i: F.col("split").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
-    return rows.withColumn("seeds", positions)
+def splits(pool: int, chosen: int) -> list[tuple[int, list[int]]]:
+    """(split, positions): every choice of ``chosen`` out of ``pool`` positions; the set bits of the split's number."""
+    return sorted((sum(1 << i for i in c), list(c)) for c in combinations(range(pool), chosen))
 
 
 def pool_scores(transitions: DataFrame, pool: DataFrame, n: int, alpha: float, iterations: int) -> DataFrame:
@@ -29,27 +33,128 @@ def pool_scores(transitions: DataFrame, pool: DataFrame, n: int, alpha: float, i
     return scores.select("node_id", F.array(*names).alias("by_seed"))
 
 
-def split_rankings(sets: DataFrame, pathways: DataFrame, by_seed: DataFrame) -> DataFrame:
-    """(split, pathway, in_set, score, rank): degree-normalised scores of every pathway in every split; ``sets`` is a list of
-    known length and is sent to all tasks. ``pathways`` (pathway, size, in_set)."""
-    rows = pathways.join(by_seed.withColumnRenamed("node_id", "pathway"), "pathway", "left")
-    rows = rows.join(F.broadcast(sets))
-    total = F.aggregate("seeds", F.lit(0.0), lambda a, i: a + F.coalesce(F.get("by_seed", i), F.lit(0.0)))
-    rows = rows.select("split", "pathway", "in_set", (total / F.size("seeds") / F.sqrt("size")).alias("score"))
-    return ranked(rows.withColumn("score", F.round(F.col("score") * 1e9, 0)), ["split"], [F.desc("score"), F.asc("pathway")])
-
-
-def split_metrics(rankings: DataFrame, ks: tuple[int, ...] = (10, 20)) -> DataFrame:
-    return ranking_metrics(rankings, ["split"], F.col("in_set"), ks)
-
-
-def bootstrap(spark: SparkSession, pool: int, sizes: list[int], draws: int, seed: int = 42) -> DataFrame:
-    """(split, seed_size, seeds): ``draws`` subsets of positions for each size, without replacement, by seeded hashes; equal on
-    every run. ``pool`` positions are a short list."""
-    rows = spark.range(draws * len(sizes)).withColumnRenamed("id", "split")
-    size = F.element_at(F.array(*(F.lit(s) for s in sizes)), (F.col("split") % len(sizes) + 1).cast("int"))
-    keyed = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(pool - 1)), lambda i: F.struct(seeded_hash(seed, F.col("split"), i).alias("h"), i.alias("i"))))
-    return rows.withColumn("seed_size", size).withColumn("seeds", F.transform(F.slice(keyed, F.lit(1), F.col("seed_size")), lambda x: x["i"]))
+def bootstrap(spark: SparkSession, pool: int, sizes: list[int], draws: int, seed: int = 42) -> list[tuple[int, list[int]]]:
+    """(split, positions): ``draws`` subsets for each size that the pool allows, without replacement, by seeded hashes, and as
+    split -1 the whole pool. A list of as many sets as were asked for."""
+    sizes = [s for s in sizes if s <= pool]
+    keyed = F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(pool - 1)), lambda i: F.struct(seeded_hash(seed, F.col("id"), i).alias("h"), i.alias("i"))))
+    order = spark.range(draws * len(sizes)).select("id", F.transform(keyed, lambda x: x["i"]).alias("order")).collect()
+    return [(-1, list(range(pool)))] + [(r["id"], sorted(r["order"][: sizes[r["id"] % len(sizes)]])) for r in sorted(order)]
+
+
+def _log_factorial(n: np.ndarray) -> np.ndarray:
+    """ln n! by Stirling's series, shifted up by eight."""
+    x = np.asarray(n, float) + 9.0
+    series = (x - 0.5) * np.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5) - 1 / (1680 * x**7)
+    return series - sum(np.log(x - 9.0 + i) for i in range(1, 9))
+
+
+def tails(marked: np.ndarray, population: int, drawn: int) -> np.ndarray:
+    """P(X >= k) for k = 0..drawn (columns) of ``drawn`` of ``population`` items, for each number ``marked`` (rows)."""
+    m, k = np.asarray(marked, np.int64)[:, None], np.arange(drawn + 1)[None, :]
+    lc = lambda n, r: _log_factorial(n) - _log_factorial(r) - _log_factorial(n - r)
+    able = (k <= m) & (drawn - k <= population - m)
+    pmf = np.where(able, np.exp(lc(m, np.minimum(k, m)) + lc(np.maximum(population - m, 0), np.clip(drawn - k, 0, np.maximum(population - m, 0))) - lc(population, drawn)), 0.0)
+    return np.minimum(1.0, pmf[:, ::-1].cumsum(1)[:, ::-1])
+
+
+Sets = list[tuple[int, list[int]]]
+
+
+def _matrix(sets: Sets, pool: int) -> np.ndarray:
+    out = np.zeros((pool, len(sets)))
+    for j, (_, positions) in enumerate(sets):
+        out[positions, j] = 1.0
+    return out
+
+
+def ahead(items: DataFrame, sets: Sets, pool: int, asked: list[str], value: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], ties: bool = True) -> DataFrame:
+    """(split, key, n): for each set and each key in ``asked`` (a short list) the number of ``items`` that come before it.
+
+    ``items`` (key, by_seed array<double>, size double); ``value`` makes the items' values (rows) in all sets (columns) of their
+    arrays, sizes and the sets' 0/1 matrix. Higher values come first, equal ones by key (with ``ties``; else they do not count).
+    """
+    matrix, numbers = _matrix(sets, pool), np.array([s for s, _ in sets], np.int64)
+    known = {r["key"]: r for r in items.filter(F.col("key").isin(asked)).collect()}
+    names = sorted(known)
+    block = lambda rows: np.array(rows, float).reshape(len(rows), pool)
+    own = value(block([known[k]["by_seed"] for k in names]), np.array([known[k]["size"] for k in names], float), matrix) if names else np.zeros((0, len(sets)))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(own.shape, np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                keys = np.array(part.column(0).to_pylist(), object)
+                values = value(part.column(1).flatten().to_numpy().reshape(-1, pool), part.column(2).to_numpy(), matrix)
+                for i, name in enumerate(names):
+                    total[i] += (values > own[i]).sum(0)
+                    if ties:
+                        total[i] += ((values == own[i]) & (keys < name)[:, None]).sum(0)
+        if total.size:
+            columns = [np.tile(numbers, len(names)), np.repeat(np.array(names, object), len(numbers)), total.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["split", "key", "n"])
+
+    counts = items.select("key", "by_seed", F.col("size").cast("double")).mapInArrow(count, "split long, key string, n long")
+    return counts.groupBy("split", "key").agg(F.sum("n").alias("n"))
+
+
+def mean_score(by_seed: np.ndarray, size: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+    """Mean score of each set by the root of the size, in whole billionths."""
+    return np.rint(by_seed @ matrix / matrix.sum(0) / np.sqrt(size)[:, None] * 1e9)
+
+
+def fisher_value(in_universe: list[float], population: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Minus the p-value of each set's overlap: ``by_seed`` says which seeds are members, ``size`` the members in the universe."""
+
+    def value(by_seed: np.ndarray, size: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+        hits, drawn = np.rint(by_seed @ matrix).astype(np.int64), np.rint(np.array(in_universe) @ matrix).astype(np.int64)
+        out = np.zeros(hits.shape)
+        for d in np.unique(drawn):
+            at = np.flatnonzero(drawn == d)
+            table = np.hstack([tails(size, population, int(d)), np.zeros((len(size), matrix.shape[0]))])
+            p = np.take_along_axis(table, hits[:, at], 1)
+            out[:, at] = -np.round(np.where(hits[:, at] > 0, p, 1.0), 12)
+        return out
+
+    return value
+
+
+def list_metrics(items: DataFrame, sets: Sets, pool: int, relevant: list[str], value: Callable, ks: tuple[int, ...] = (10, 20)) -> DataFrame:
+    """Ranking metrics of every set's list, from the ranks of its relevant items."""
+    ranks = ahead(items, sets, pool, relevant, value).select("split", (F.col("n") + 1).alias("rank"))
+    spark = items.sparkSession
+    counts = spark.createDataFrame([(s,) for s, _ in sets], "split long").withColumn("n", F.lit(items.count()))
+    return ranking_metrics(ranks, ["split"], F.lit(True), ks, counts)
+
+
+def held_out_precision(nodes: DataFrame, sets: Sets, pool_keys: list[str]) -> DataFrame:
+    """(split, gene_auprc): average precision of the pool's nodes outside each set among all nodes but those of the set, of equal
+    scores the held-out first. ``nodes`` (key, by_seed, size) has every scored node."""
+    pool = len(pool_keys)
+    others = nodes.filter(~F.col("key").isin(pool_keys))
+    mine = nodes.filter(F.col("key").isin(pool_keys))
+    above = ahead(others.unionByName(mine), sets, pool, pool_keys, mean_score, ties=False)
+    within = {r["key"]: r["by_seed"] for r in mine.collect()}
+    matrix = _matrix(sets, pool)
+    own = mean_score(np.array([within[k] for k in pool_keys], float), np.ones(pool), matrix)
+    rows = []
+    for j, (split, positions) in enumerate(sets):
+        held = [i for i in range(pool) if i not in set(positions)]
+        order = sorted(held, key=lambda i: -own[i, j])
+        for hit, i in enumerate(order, 1):  # nodes of the pool ahead of it are not other nodes
+            rows.append((split, pool_keys[i], hit, int((own[:, j] > own[i, j]).sum())))
+    hits = nodes.sparkSession.createDataFrame(rows, "split long, key string, hit int, pool_ahead int")
+    rank = F.col("n") - F.col("pool_ahead") + F.col("hit")
+    return above.join(F.broadcast(hits), ["split", "key"]).groupBy("split").agg(F.avg(F.col("hit") / rank).alias("gene_auprc"))
+
+
+def compared(conditioned: DataFrame, raw: DataFrame, fisher: DataFrame) -> DataFrame:
+    """Metrics of the conditioned lists beside those of the raw ones and of the seeds' overlap."""
+    out = conditioned.join(raw.select("split", F.col("mean_rank").alias("mean_rank_raw")), "split")
+    out = out.join(fisher.select("split", F.col("p_at_10").alias("fisher_p_at_10"), F.col("ap").alias("fisher_ap")), "split")
+    beats = F.round("ap", 9) > F.round("fisher_ap", 9)
+    return out.withColumn("rank_improvement", F.col("mean_rank_raw") - F.col("mean_rank")).withColumn("beats_fisher", beats.cast("int"))
 
 
 def control_split(members: DataFrame, share: float = 0.7, seed: int = 42) -> DataFrame:

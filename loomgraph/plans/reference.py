@@ -526,7 +526,7 @@ steps AS (SELECT 0 AS i, position, node_id, 1.0::DOUBLE AS score FROM pool UNION
  UNION ALL SELECT k.i, p.position, p.node_id, {ALPHA} FROM (SELECT DISTINCT i FROM steps WHERE i < {STEPS}) k, pool p) GROUP BY i, position, node_id)
 SELECT position, node_id, round(score * 1e6, 3) AS score FROM steps WHERE i = {STEPS} AND round(score * 1e6, 3) > 0""")
 def r3_single_seeds(g):
-    scores = resample.pool_scores(g.moves(g.moving), _pool(g), POOL, ALPHA, STEPS)
+    scores = _pool_scores(g, g.moving, _pool(g, POOL))
     rows = scores.select("node_id", F.posexplode("by_seed").alias("position", "score"))
     return rows.select(F.col("position").cast("long").alias("position"), "node_id", micro("score")).filter("score > 0")
 
@@ -977,6 +977,7 @@ def a23_summary(g):
 # --- nulls and resampling --------------------------------------------------------------------------------------------
 
 PERMUTATIONS, REWIRINGS, POOL, CHOSEN = 1000, 1000, 15, 10
+BOOT_SIZES, BOOTS = [10, 20, 30], 500
 
 
 @query(f"{_COND}, {MEMBERS} SELECT DISTINCT gene AS node_id FROM members WHERE gene IN (SELECT source FROM kept WHERE propagating UNION SELECT target FROM kept WHERE propagating)")
@@ -1100,51 +1101,102 @@ def n12_significance(g):
     return rows.join(_against(stage(_member_null(g), "nulls"), scored, "member_mean", "member_"), "pathway", "left")
 
 
-def _pool(g: Graph) -> DataFrame:
-    from pyspark.sql import Window
-
-    seeds = g.seeds.withColumn("position", F.row_number().over(Window.orderBy("node_id")) - 1)  # 60 fixed rows
-    return seeds.filter(F.col("position") < POOL)
-
-
-def _rankings(g: Graph, sets: DataFrame) -> DataFrame:
-    kept = g.kept
-    by_seed = resample.pool_scores(g.moves(g.moving), _pool(g), POOL, ALPHA, STEPS)
-    sizes = _sizes(membership.sized(g.members, 2 * LEAST_MEMBERS, MOST_MEMBERS)).withColumnRenamed("member_gene_count", "size")
-    refs = g.refs.select(F.col("node_id").alias("pathway"), F.lit(True).alias("in_set"))
-    pathways = sizes.join(F.broadcast(refs), "pathway", "left").fillna(False, ["in_set"])
-    return resample.split_rankings(sets, pathways, by_seed)
-
-
-def _split_sql(sets: str) -> str:
-    """Metrics of the sets ``chosen`` (split, position, k: seeds of the set)."""
-    return f"""{_MOVES}, {MEMBERS}, pool AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS position FROM seeds QUALIFY position < {POOL}),
-steps AS (SELECT 0 AS i, position, node_id, 1.0::DOUBLE AS score FROM pool UNION ALL SELECT i + 1, position, node_id, sum(v) FROM (
- SELECT f.i, f.position, t.dst AS node_id, {1 - ALPHA} * t.p * f.score AS v FROM steps f JOIN t ON f.node_id = t.src WHERE f.i < {STEPS}
- UNION ALL SELECT k.i, p.position, p.node_id, {ALPHA} FROM (SELECT DISTINCT i FROM steps WHERE i < {STEPS}) k, pool p) GROUP BY i, position, node_id),
-{sets}, pw AS (SELECT pathway, count(*) AS size, pathway IN (SELECT node_id FROM refs) AS in_set FROM members GROUP BY 1 HAVING count(*) BETWEEN {2 * LEAST_MEMBERS} AND {MOST_MEMBERS}),
-hit AS (SELECT c.split, v.node_id AS pathway, sum(v.score) AS s FROM chosen c JOIN steps v ON v.i = {STEPS} AND v.position = c.position GROUP BY 1, 2),
-sc AS (SELECT n.split, pw.pathway, in_set, round(coalesce(hit.s, 0) / n.k / sqrt(size) * 1e9) AS score FROM (SELECT split, count(*) AS k FROM chosen GROUP BY 1) n CROSS JOIN pw LEFT JOIN hit ON hit.split = n.split AND hit.pathway = pw.pathway),
-rk AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY score DESC, pathway) AS rank FROM sc), h AS (SELECT *, sum(in_set::INT) OVER (PARTITION BY split ORDER BY rank) AS hits FROM rk),
-a AS (SELECT split, count(*) AS n, count(*) FILTER (in_set) AS n_relevant, coalesce(avg(hits / rank) FILTER (in_set), 0) AS ap, avg(rank) FILTER (in_set) AS mean_rank,
- {", ".join(f"count(*) FILTER (in_set AND rank <= {k}) AS h{k}, coalesce(sum(1 / log2(rank + 1.0)) FILTER (in_set AND rank <= {k}), 0) AS d{k}" for k in (10, 20))} FROM h GROUP BY 1)
-SELECT split, n, n_relevant, round(ap, 9) AS ap, round(mean_rank, 9) AS mean_rank, {", ".join(_metric_sql(k) for k in (10, 20))} FROM a"""
+def _pool(g: Graph, most: int | None) -> list[str]:
+    """The first seeds by id, all of them without ``most``; a short list."""
+    return sorted(r["node_id"] for r in g.seeds.collect())[:most]
+
+
+def _pool_scores(g: Graph, edges: DataFrame, pool: list[str]) -> DataFrame:
+    positions = g.spark.createDataFrame(list(enumerate(pool)), "position int, node_id string")
+    return stage(resample.pool_scores(g.moves(edges), positions, len(pool), ALPHA, STEPS), "by-seed")
+
+
+def _set_metrics(g: Graph, sets: list, pool: list[str], held_out: bool) -> DataFrame:
+    """Metrics of every set of seeds by both operators and by their overlap with the pathways."""
+    least = 2 * LEAST_MEMBERS
+    members = stage(membership.sized(stage(g.members, "all-members"), least, MOST_MEMBERS), "members")
+    kept = g.kept  # also holds the edges
+    sizes = stage(members.groupBy(F.col("pathway").alias("key")).agg(F.count("*").cast("double").alias("size")), "sizes")
+    refs = [r["node_id"] for r in g.refs.collect()]
+    none = F.array_repeat(F.lit(0.0), len(pool))
+    lists = {}
+    for arm, edges in (("conditioned", kept.filter("propagating")), ("raw", g.conditioned)):
+        scores = _pool_scores(g, edges, pool)
+        size = F.col("size") if arm == "conditioned" else F.lit(1.0)
+        rows = sizes.join(scores.withColumnRenamed("node_id", "key"), "key", "left").select("key", F.coalesce("by_seed", none).alias("by_seed"), size.alias("size"))
+        lists[arm] = resample.list_metrics(stage(rows, "lists"), sets, len(pool), refs, resample.mean_score)
+        if held_out and arm == "conditioned":
+            genes = resample.held_out_precision(scores.select(F.col("node_id").alias("key"), "by_seed", F.lit(1.0).alias("size")), sets, pool)
+    universe = stage(enrich.gene_universe(g.edges), "universe")
+    inside = {r["node_id"] for r in universe.filter(F.col("node_id").isin(pool)).collect()}
+    rows = members.join(universe.withColumnRenamed("node_id", "gene").withColumn("_u", F.lit(1)), "gene", "left")
+    hit = F.array(*(F.max(F.when(F.col("gene") == s, 1.0).otherwise(0.0)) for s in pool))
+    rows = rows.groupBy(F.col("pathway").alias("key")).agg(hit.alias("by_seed"), F.count("_u").cast("double").alias("size"))
+    value = resample.fisher_value([1.0 if s in inside else 0.0 for s in pool], universe.count())
+    fisher = resample.list_metrics(stage(rows, "overlaps"), sets, len(pool), refs, value)
+    out = resample.compared(lists["conditioned"], lists["raw"], fisher)
+    return _rounded(out.join(genes, "split", "left") if held_out else out)
+
+
+def _list_sql(name: str, scores: str) -> str:
+    """Metrics ``name`` of lists ``scores`` (split, pathway, in_set, score), higher first."""
+    return f"""{name}_rk AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY score DESC, pathway) AS rank FROM {scores}), {name}_h AS (SELECT *, sum(in_set::INT) OVER (PARTITION BY split ORDER BY rank) AS hits FROM {name}_rk),
+{name}_a AS (SELECT split, count(*) AS n, count(*) FILTER (in_set) AS n_relevant, coalesce(avg(hits / rank) FILTER (in_set), 0) AS ap, avg(rank) FILTER (in_set) AS mean_rank,
+ {", ".join(f"count(*) FILTER (in_set AND rank <= {k}) AS h{k}, coalesce(sum(1 / log2(rank + 1.0)) FILTER (in_set AND rank <= {k}), 0) AS d{k}" for k in (10, 20))} FROM {name}_h GROUP BY 1),
+{name} AS (SELECT split, n, n_relevant, ap, mean_rank, {", ".join(_metric_sql(k) for k in (10, 20))} FROM {name}_a)"""
+
+
+def _pool_sql(name: str, transitions: str) -> str:
+    return f"""{name} AS (SELECT 0 AS i, position, node_id, 1.0::DOUBLE AS score FROM pool UNION ALL SELECT i + 1, position, node_id, sum(v) FROM (
+ SELECT f.i, f.position, t.dst AS node_id, {1 - ALPHA} * t.p * f.score AS v FROM {name} f JOIN {transitions} t ON f.node_id = t.src WHERE f.i < {STEPS}
+ UNION ALL SELECT k.i, p.position, p.node_id, {ALPHA} FROM (SELECT DISTINCT i FROM {name} WHERE i < {STEPS}) k, pool p) GROUP BY i, position, node_id)"""
+
+
+def _split_sql(sets: str, most: int | None, held_out: bool) -> str:
+    """Metrics of the sets ``chosen`` (split, position)."""
+    choose = lambda n, r: f"(lgamma({n} + 1.0) - lgamma({r} + 1.0) - lgamma({n} - {r} + 1.0))"
+    term_ = f"exp({choose('marked', 'i')} + {choose('(population - marked)', '(drawn - i)')} - {choose('population', 'drawn')})"
+    tail = f"least(1, list_sum(list_transform(range(greatest(k, marked + drawn - population, 0), least(marked, drawn) + 1), lambda i: {term_})))"
+    genes = f""", node_s AS (SELECT c.split, v.node_id, round(sum(v.score) / any_value(n.k) * 1e9) AS s FROM chosen c JOIN csteps v ON v.i = {STEPS} AND v.position = c.position JOIN n_seeds n ON n.split = c.split GROUP BY 1, 2),
+held AS (SELECT n.split, p.node_id, coalesce(s, 0) AS s FROM n_seeds n CROSS JOIN pool p LEFT JOIN node_s USING (split, node_id) WHERE (n.split, p.position) NOT IN (SELECT (split, position) FROM chosen)),
+held_n AS (SELECT h.split, h.node_id, h.s, count(o.node_id) AS above FROM held h LEFT JOIN node_s o ON o.split = h.split AND o.s > h.s AND o.node_id NOT IN (SELECT node_id FROM pool) GROUP BY 1, 2, 3),
+held_k AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY s DESC, node_id) AS hit FROM held_n),
+genes AS (SELECT split, round(avg(hit / (above + hit)), 9) AS gene_auprc FROM held_k GROUP BY 1)"""
+    return f"""{_MOVES}, raw AS (SELECT * FROM resolved WHERE known), {transitions_sql("rt", "true", "raw")}, {MEMBERS}, pool AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS position FROM seeds {f"QUALIFY position < {most}" if most else ""}),
+{_pool_sql("csteps", "t")}, {_pool_sql("rsteps", "rt")}, {sets}, {_UNIVERSE},
+n_seeds AS (SELECT split, count(*) AS k, count(*) FILTER (node_id IN (SELECT node_id FROM u)) AS drawn FROM chosen JOIN pool USING (position) GROUP BY 1),
+pw AS (SELECT pathway, count(*) AS size, pathway IN (SELECT node_id FROM refs) AS in_set, count(*) FILTER (gene IN (SELECT node_id FROM u)) AS marked FROM members GROUP BY 1 HAVING count(*) BETWEEN {2 * LEAST_MEMBERS} AND {MOST_MEMBERS}),
+chit AS (SELECT c.split, v.node_id AS pathway, sum(v.score) AS s FROM chosen c JOIN csteps v ON v.i = {STEPS} AND v.position = c.position WHERE v.node_id IN (SELECT pathway FROM pw) GROUP BY 1, 2),
+rhit AS (SELECT c.split, v.node_id AS pathway, sum(v.score) AS s FROM chosen c JOIN rsteps v ON v.i = {STEPS} AND v.position = c.position WHERE v.node_id IN (SELECT pathway FROM pw) GROUP BY 1, 2),
+fhit AS (SELECT c.split, m.pathway, count(*) AS k FROM chosen c JOIN pool USING (position) JOIN members m ON m.gene = pool.node_id GROUP BY 1, 2),
+cs AS (SELECT n.split, pw.pathway, in_set, round(coalesce(s, 0) / n.k / sqrt(size) * 1e9) AS score FROM n_seeds n CROSS JOIN pw LEFT JOIN chit ON chit.split = n.split AND chit.pathway = pw.pathway),
+rs AS (SELECT n.split, pw.pathway, in_set, round(coalesce(s, 0) / n.k * 1e9) AS score FROM n_seeds n CROSS JOIN pw LEFT JOIN rhit ON rhit.split = n.split AND rhit.pathway = pw.pathway),
+fk AS (SELECT DISTINCT marked, drawn, k, (SELECT count(*) FROM u) AS population FROM fhit JOIN pw USING (pathway) JOIN (SELECT split, drawn FROM n_seeds) USING (split)), fp AS (SELECT marked, drawn, k, round({tail}, 12) AS p FROM fk),
+fs AS (SELECT n.split, pw.pathway, in_set, -coalesce(fp.p, 1) AS score FROM n_seeds n CROSS JOIN pw LEFT JOIN fhit ON fhit.split = n.split AND fhit.pathway = pw.pathway LEFT JOIN fp ON fp.marked = pw.marked AND fp.drawn = n.drawn AND fp.k = fhit.k),
+{_list_sql("cm", "cs")}, {_list_sql("rm", "rs")}, {_list_sql("fm", "fs")}{genes if held_out else ""}
+SELECT cm.split, cm.n, cm.n_relevant, round(cm.ap, 9) AS ap, round(cm.mean_rank, 9) AS mean_rank, {", ".join(f"cm.{m}_at_{k}" for k in (10, 20) for m in ("p", "recall", "enrich", "ndcg"))},
+ round(rm.mean_rank, 9) AS mean_rank_raw, round(rm.mean_rank - cm.mean_rank, 9) AS rank_improvement, fm.p_at_10 AS fisher_p_at_10, round(fm.ap, 9) AS fisher_ap, (round(cm.ap, 9) > round(fm.ap, 9))::INTEGER AS beats_fisher{", gene_auprc" if held_out else ""}
+FROM cm JOIN rm USING (split) JOIN fm USING (split){" LEFT JOIN genes USING (split)" if held_out else ""}"""
 
 
 def _rounded(metrics: DataFrame) -> DataFrame:
-    return metrics.select(*(F.round(c, 9).alias(c) if c.startswith(("ap", "mean_rank", "enrich", "ndcg")) else F.col(c) for c in metrics.columns))
+    real = ("ap", "mean_rank", "enrich", "ndcg", "rank_improvement", "fisher_ap", "gene_auprc")
+    return metrics.select(*(F.round(c, 9).alias(c) if c.startswith(real) else F.col(c) for c in metrics.columns))
 
 
-@query(_split_sql(f"chosen AS (SELECT split, position FROM (SELECT unnest(range({1 << POOL})) AS split), (SELECT unnest(range({POOL})) AS position) WHERE bit_count(split) = {CHOSEN} AND (split >> position) & 1 = 1)"))
+@query(_split_sql(f"chosen AS (SELECT split, position FROM (SELECT unnest(range({1 << POOL})) AS split), (SELECT unnest(range({POOL})) AS position) WHERE bit_count(split) = {CHOSEN} AND (split >> position) & 1 = 1)", POOL, True))
 def n9_split_metrics(g):
-    return _rounded(resample.split_metrics(_rankings(g, resample.splits(spark, POOL, CHOSEN))))
+    return _set_metrics(g, resample.splits(POOL, CHOSEN), _pool(g, POOL), True)
+
+
+_BOOTS = f"""chosen AS (SELECT split, position FROM (SELECT split, position, row_number() OVER (PARTITION BY split ORDER BY {scalars.seeded_hash_sql(42, "split", "position")}, position) AS k
+ FROM (SELECT unnest(range({BOOTS * len(BOOT_SIZES)})) AS split), pool) WHERE k <= [{", ".join(map(str, BOOT_SIZES))}][split % {len(BOOT_SIZES)} + 1] UNION ALL SELECT -1, position FROM pool)"""
 
 
-@query(_split_sql(f"""chosen AS (SELECT split, position FROM (SELECT split, position, row_number() OVER (PARTITION BY split ORDER BY {scalars.seeded_hash_sql(42, "split", "position")}, position) AS k
- FROM (SELECT unnest(range(500)) AS split), (SELECT unnest(range({POOL})) AS position)) WHERE k <= CASE WHEN split % 2 = 0 THEN 5 ELSE 10 END)"""))
+@query(_split_sql(_BOOTS, None, False))
 def n10_bootstrap_metrics(g):
-    sets = resample.bootstrap(spark, POOL, [5, 10], 250)
-    return _rounded(resample.split_metrics(_rankings(g, sets.select("split", "seeds"))))
+    pool = _pool(g, None)
+    return _set_metrics(g, resample.bootstrap(g.spark, len(pool), BOOT_SIZES, BOOTS), pool, False)
 
 
 @query(f"""WITH {GRAPH}, {_SIZED}, k AS (SELECT pathway, gene, row_number() OVER (PARTITION BY pathway ORDER BY md5('42|' || pathway || '|' || gene), gene) AS k, count(*) OVER (PARTITION BY pathway) AS n FROM sized)

@@ -60,7 +60,7 @@ def group_scores(rows: DataFrame, key: str = "pathway") -> DataFrame:
     rows = rows.join(stats, key)
     spread = F.col("_hi") - F.col("_lo")
     rows = rows.withColumn("score_norm", F.when(spread > 0, (F.col("score") - F.col("_lo")) / spread).otherwise(1.0))
-    return rows.withColumn("z_within", z_score(F.col("score"), F.col("_mean"), F.col("_sd"))).drop("_lo", "_hi", "_mean", "_sd")
+    return rows.withColumn("z_within", F.when(spread > 0, (F.col("score") - F.col("_mean")) / F.col("_sd")).otherwise(0.0)).drop("_lo", "_hi", "_mean", "_sd")
 
 
 def gene_moments(scores: DataFrame, sabs: DataFrame, gene_sabs: list[str]) -> DataFrame:
@@ -86,18 +86,28 @@ def influential_nodes(pathways: DataFrame, kept_edges: DataFrame, scores: DataFr
     near = near.join(members.select("pathway", F.col("gene").alias("node_id"), F.lit(True).alias("_m")), ["pathway", "node_id"], "left")
     near = near.join(seeds.select("node_id", F.lit(True).alias("_s")).distinct(), "node_id", "left")
     out = near.select("pathway", "node_id", "score", "score_norm", "z_within", F.coalesce("_m", F.lit(False)).alias("is_member"), F.coalesce("_s", F.lit(False)).alias("is_seed"))
-    if limit is None:
-        return out
-    w = Window.partitionBy("pathway").orderBy(F.desc("z_within"), "node_id")
-    return out.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= limit).drop("_k")
+    return out if limit is None else best_neighbours(out, limit)
 
 
-def influence_summary(influential: DataFrame, z: float = 1.96) -> DataFrame:
-    """Per pathway: number of neighbours above ``z``, and quartiles and maximum of their scores."""
-    high = F.when(F.col("z_within") > z, 1).otherwise(0)
+def best_neighbours(near: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best-scored neighbours of each pathway, ties by id: first the best of parts of a pathway's neighbours, then
+    of those, so no task sorts all neighbours of a hub."""
+    part = near.withColumn("_salt", F.pmod(F.xxhash64("node_id"), F.lit(64)))
+    for keys in (["pathway", "_salt"], ["pathway"]):
+        w = Window.partitionBy(*keys).orderBy(F.desc("score"), "node_id")
+        part = part.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= limit)
+    return part.drop("_k", "_salt")
+
+
+def influence_summary(near: DataFrame, best: DataFrame, z: float = 1.96) -> DataFrame:
+    """Per pathway: number of neighbours above ``z``, quartiles and maximum of all their scores, and the ids above ``z`` among
+    ``best`` (a bounded list for each pathway), best first."""
+    above = F.round("z_within", 6) > z
     q = F.percentile("score", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    rows = influential.groupBy("pathway").agg(F.sum(high).cast("long").alias("n_high"), F.count("*").alias("n"), q.alias("_q"), F.max("score").alias("max_score"))
-    return rows.select("pathway", "n_high", "n", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max_score")
+    rows = near.groupBy("pathway").agg(F.count(F.when(above, 1)).alias("n_high"), F.count("*").alias("n"), q.alias("_q"), F.max("score").alias("max_score"))
+    listed = best.filter(above).groupBy("pathway").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), F.col("node_id")))).alias("_l"))
+    rows = rows.join(listed.select("pathway", F.array_join(F.transform("_l", lambda x: x["node_id"]), ";").alias("high")), "pathway", "left")
+    return rows.select("pathway", "n_high", "n", F.col("_q")[0].alias("p25"), F.col("_q")[1].alias("p50"), F.col("_q")[2].alias("p75"), "max_score", F.coalesce("high", F.lit("")).alias("high"))
 
 
 def summary(scored: DataFrame, member_table: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -23,11 +23,13 @@ EXCLUDED_HOPS = ["part_of", "is_a"]
 MEMBERSHIPS = MEMBER_FORWARD + MEMBER_REVERSE
 
 QUERIES: dict = {}
+ON_GRAPH: dict = {}
 SQL: dict = {}
 
 
 def query(sql: str | None = None):
     def register(f):
+        ON_GRAPH[f.__name__] = f
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Graph(spark, sf_dir))
         if sql:
             SQL[f.__name__] = sql
@@ -658,24 +660,31 @@ def a5_best_sab(g):
     return g.sabs
 
 
-@query(f"""WITH {GRAPH}, s AS (SELECT node_id, count(DISTINCT sab) AS k FROM g_nodes WHERE sab IS NOT NULL GROUP BY 1)
-SELECT count(*) AS nodes, count(*) FILTER (k > 1) AS several, round(count(*) FILTER (k > 1) / count(*), 9) AS share FROM s""")
+@query(f"""WITH {GRAPH}, s AS (SELECT node_id, count(DISTINCT sab) AS k, count(*) AS c FROM g_nodes GROUP BY 1)
+SELECT count(*) AS nodes, sum(c)::BIGINT AS n_rows, count(*) FILTER (k > 1) AS several, round(count(*) FILTER (k > 1) / count(*), 9) AS share,
+CASE WHEN count(*) FILTER (k > 1) = 0 THEN 'reliable' WHEN count(*) FILTER (k > 1) / count(*) < 0.01 THEN 'small impact' ELSE 'may be unreliable' END AS advice FROM s""")
 def a6_preflight(g):
-    per = g.nodes.filter("sab is not null").groupBy("node_id").agg(F.count_distinct("sab").alias("k"))
+    per = g.nodes.groupBy("node_id").agg(F.count_distinct("sab").alias("k"), F.count("*").alias("c"))
     several = F.count(F.when(F.col("k") > 1, 1))
-    return per.agg(F.count("*").alias("nodes"), several.alias("several"), F.round(several / F.count("*"), 9).alias("share"))
+    advice = F.when(several == 0, "reliable").when(several / F.count("*") < 0.01, "small impact").otherwise("may be unreliable")
+    return per.agg(F.count("*").alias("nodes"), F.sum("c").alias("n_rows"), several.alias("several"), F.round(several / F.count("*"), 9).alias("share"), advice.alias("advice"))
+
+
+@query(f"WITH {GRAPH} SELECT sab, count(*) AS n FROM g_nodes WHERE sab IN ({', '.join(repr(x) for x in PATHWAY_SABS)}) GROUP BY 1")
+def a6_pathway_histogram(g):
+    return g.nodes.filter(F.col("sab").isin(PATHWAY_SABS)).groupBy("sab").agg(F.count("*").alias("n"))
 
 
 # --- statistics over runs --------------------------------------------------------------------------------------------
 
-_RUNS = f"""runs AS (SELECT row_id, run_id, {plain_id_sql("concept_id")} AS id, degree_norm + 0.0 AS v, CASE WHEN isnan(empirical_p) THEN NULL ELSE empirical_p END AS p, in_chd_set, direct_raw, degree_flag, null_z, member_mean
+_RUNS = f"""runs AS (SELECT row_id, run_id, {plain_id_sql("concept_id")} AS id, degree_norm + 0.0 AS v, CASE WHEN isnan(empirical_p) THEN NULL ELSE empirical_p END AS p, in_chd_set, direct_raw, degree_flag, null_z, member_mean, null_calibrated
  FROM pathway_scores_standard WHERE degree_norm IS NOT NULL AND NOT isnan(degree_norm)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY v DESC, row_id) AS rank FROM runs)"""
 
 
 def _runs(g: Graph) -> DataFrame:
     rows = g.table("pathway_scores_standard").filter("degree_norm is not null and not isnan(degree_norm)")
-    return rows.select("row_id", "run_id", plain_id("concept_id").alias("id"), (F.col("degree_norm") + F.lit(0.0)).alias("v"), F.when(~F.isnan("empirical_p"), F.col("empirical_p")).alias("p"), "in_chd_set", "direct_raw", "degree_flag", "null_z", "member_mean")
+    return rows.select("row_id", "run_id", plain_id("concept_id").alias("id"), (F.col("degree_norm") + F.lit(0.0)).alias("v"), F.when(~F.isnan("empirical_p"), F.col("empirical_p")).alias("p"), "in_chd_set", "direct_raw", "degree_flag", "null_z", "member_mean", "null_calibrated")
 
 
 def _ranked(g: Graph) -> DataFrame:
@@ -724,14 +733,32 @@ def a12_ranking_metrics(g):
     return _metrics(g)
 
 
-@query(f"""WITH {_RUNS}, w AS (SELECT run_id, row_id, row_number() OVER (PARTITION BY run_id ORDER BY direct_raw DESC NULLS LAST, row_id) AS raw_rank FROM runs)
-SELECT run_id, round(avg(rank) FILTER (in_chd_set), 9) AS mean_rank, round(avg(raw_rank) FILTER (in_chd_set), 9) AS mean_rank_raw,
-round(avg(raw_rank) FILTER (in_chd_set) - avg(rank) FILTER (in_chd_set), 9) AS rank_improvement, count(*) FILTER (degree_flag AND rank <= 10) / 10 AS hub_fraction FROM ranked JOIN w USING (run_id, row_id) GROUP BY 1""")
+_KS = (10, 20, 50)
+
+
+@query(f"""WITH {_RUNS}, w AS (SELECT run_id, row_id, row_number() OVER (PARTITION BY run_id ORDER BY direct_raw DESC NULLS LAST, row_id) AS raw_rank FROM runs),
+t AS (SELECT run_id, p, count(*) AS c FROM runs WHERE p IS NOT NULL GROUP BY 1, 2), u AS (SELECT *, sum(c) OVER (PARTITION BY run_id ORDER BY p) AS r, sum(c) OVER (PARTITION BY run_id) AS n FROM t),
+q AS (SELECT run_id, p, least(1, min(p * n / r) OVER (PARTITION BY run_id ORDER BY p DESC)) AS q FROM u)
+SELECT run_id, count(*) AS n, count(*) FILTER (in_chd_set) AS n_relevant, {", ".join(f"count(*) FILTER (in_chd_set AND rank <= {k}) / {k} AS p_at_{k}, count(*) FILTER (degree_flag AND rank <= {k}) / {k} AS hubs_at_{k}, CASE WHEN count(*) FILTER (in_chd_set) > 0 THEN round((count(*) FILTER (in_chd_set AND rank <= {k}) / {k}) / (count(*) FILTER (in_chd_set) / count(*)), 9) END AS enrich_at_{k}" for k in _KS)},
+round(avg(rank) FILTER (in_chd_set), 9) AS mean_rank, round(avg(raw_rank) FILTER (in_chd_set), 9) AS mean_rank_raw, round(avg(raw_rank) FILTER (in_chd_set) - avg(rank) FILTER (in_chd_set), 9) AS rank_improvement,
+count(*) FILTER (round(q, 9) < 0.05) AS n_q05, count(*) FILTER (round(q, 9) < 0.1) AS n_q10, count(*) FILTER (null_calibrated) AS n_calibrated, count(*) FILTER (NOT null_calibrated) AS n_degenerate
+FROM ranked JOIN w USING (run_id, row_id) LEFT JOIN q USING (run_id, p) GROUP BY 1""")
 def a13_recovery_by_run(g):
     rows = stats.ranked_by_range(_ranked(g), ["run_id"], [F.desc_nulls_last("direct_raw"), F.asc("row_id")], "raw_rank")
+    rows = stats.benjamini_hochberg(rows, "p", ["run_id"])
     cond, raw = (F.avg(F.when(F.col("in_chd_set"), F.col(c))) for c in ("rank", "raw_rank"))
-    hubs = F.sum(F.when(F.col("degree_flag") & (F.col("rank") <= 10), 1).otherwise(0)) / 10
-    return rows.groupBy("run_id").agg(F.round(cond, 9).alias("mean_rank"), F.round(raw, 9).alias("mean_rank_raw"), F.round(raw - cond, 9).alias("rank_improvement"), hubs.alias("hub_fraction"))
+    number = lambda c: F.count(F.when(c, 1))
+    relevant, n = number(F.col("in_chd_set")), F.count("*")
+    tops = []
+    for k in _KS:
+        top = F.col("rank") <= k
+        precision = number(F.col("in_chd_set") & top) / k
+        tops += [precision.alias(f"p_at_{k}"), (number(F.col("degree_flag") & top) / k).alias(f"hubs_at_{k}"), F.round(F.when(relevant > 0, precision / (relevant / n)), 9).alias(f"enrich_at_{k}")]
+    q = F.round("q", 9)
+    return rows.groupBy("run_id").agg(
+        n.alias("n"), relevant.alias("n_relevant"), *tops, F.round(cond, 9).alias("mean_rank"), F.round(raw, 9).alias("mean_rank_raw"), F.round(raw - cond, 9).alias("rank_improvement"),
+        number(q < 0.05).alias("n_q05"), number(q < 0.1).alias("n_q10"), number(F.col("null_calibrated")).alias("n_calibrated"), number(~F.col("null_calibrated")).alias("n_degenerate"),
+    )
 
 
 @query(f"""{_METRICS}, l AS (SELECT unnest(['ap', 'p_at_10', 'mean_rank']) AS metric, unnest([ap, p_at_10, mean_rank]) AS v FROM metrics)
@@ -775,7 +802,7 @@ def a29_mean_rank_across_runs(g):
 @query(f"""{_ARMS}, m AS (SELECT * FROM arm_signal JOIN arm_roc USING (arm) JOIN arm_top USING (arm))
 SELECT arm, unnest(['entropy', 'localization', 'auroc', 'auprc', 'top50', 'top100']) AS metric, round(unnest([entropy, localization, auroc, auprc, top50, top100]), 6) AS v FROM m""")
 def a30_arm_table(g):
-    return QUERIES["c12_arms"](g.spark, g.dir).unpivot(["arm"], ["entropy", "localization", "auroc", "auprc", "top50", "top100"], "metric", "v").withColumn("v", F.round("v", 6))
+    return c12_arms(g).unpivot(["arm"], ["entropy", "localization", "auroc", "auprc", "top50", "top100"], "metric", "v").withColumn("v", F.round("v", 6))
 
 
 @query(f"""WITH {_RUNS} SELECT r.node_id, coalesce(min(k.rank), 9999)::BIGINT AS rank FROM refs_ r LEFT JOIN ranked k ON r.node_id = k.id AND k.run_id LIKE '%PRIMARY' GROUP BY 1""".replace("refs_", "(SELECT node_id FROM reference_concepts WHERE role = 'pathway')"))
@@ -929,11 +956,11 @@ _MEMBER_TABLE = f"""{_PPR}, {_SIZED}, mom AS (SELECT avg(score) FILTER (b.sab IN
 mt AS (SELECT pathway, gene, score, min(score) OVER w AS lo, max(score) OVER w AS hi, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS sd FROM sized JOIN cond ON gene = cond.node_id WINDOW w AS (PARTITION BY pathway))"""
 
 
-@query(f"""{_MEMBER_TABLE} SELECT pathway, gene, round(score * 1e6, 3) AS score, round(CASE WHEN hi - lo > 0 THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS score_norm, round((score - gm) / gs, 6) AS z_global FROM mt, mom""")
+@query(f"""{_MEMBER_TABLE} SELECT pathway, gene, round(score * 1e6, 3) AS score, round(CASE WHEN hi - lo > 0 THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS score_norm, round(CASE WHEN hi - lo > 0 THEN (score - mean) / sd ELSE 0 END, 6) + 0.0 AS z_within, round((score - gm) / gs, 6) AS z_global FROM mt, mom""")
 def a20_member_scores(g):
     scores = g.cond_scores
     rows = scoring.member_scores(g.sized, scores, scoring.gene_moments(scores, g.sabs, GENE_SABS))
-    return rows.select("pathway", "gene", micro("score"), F.round("score_norm", 6).alias("score_norm"), F.round("z_global", 6).alias("z_global"))
+    return rows.select("pathway", "gene", micro("score"), F.round("score_norm", 6).alias("score_norm"), (F.round("z_within", 6) + F.lit(0.0)).alias("z_within"), F.round("z_global", 6).alias("z_global"))
 
 
 @query(f"""{_MEMBER_TABLE} SELECT round(gm * 1e6, 3) AS mean, round(gs * 1e6, 3) AS sd FROM mom""")
@@ -944,34 +971,48 @@ def a19_gene_moments(g):
 
 _NEAR = f"""{_PPR}, {_SIZED}, ends AS (SELECT source AS pathway, target AS node_id FROM kept UNION SELECT target, source FROM kept),
 nb AS (SELECT pathway, node_id, round(score * 1e9) / 1e9 AS score FROM ends JOIN cond USING (node_id) WHERE pathway IN (SELECT pathway FROM sized)),
-ns AS (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM nb WINDOW w AS (PARTITION BY pathway))"""
+ns AS (SELECT *, CASE WHEN hi - lo > 0 THEN (score - mean) / sd ELSE 0 END AS z FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi, avg(score) OVER w AS mean, stddev_pop(score) OVER w AS sd FROM nb WINDOW w AS (PARTITION BY pathway))),
+best AS (SELECT * FROM ns QUALIFY row_number() OVER (PARTITION BY pathway ORDER BY score DESC, node_id) <= 200)"""
 
 
-def _influential(g: Graph) -> DataFrame:
-    kept = g.kept
-    members = g.sized
-    scores = nano(g.cond_scores)
-    return scoring.influential_nodes(members.select("pathway").distinct(), kept, scores, members, g.seeds, None)
+def _influential(g: Graph, limit: int | None) -> DataFrame:
+    return scoring.influential_nodes(g.sized.select("pathway").distinct(), g.kept, nano(g.cond_scores), g.sized, g.seeds, limit)
 
 
-@query(f"""{_NEAR} SELECT pathway, node_id, round(CASE WHEN hi - lo > 0 THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS score_norm, (pathway, node_id) IN (SELECT (pathway, gene) FROM sized) AS is_member,
-node_id IN (SELECT node_id FROM seeds) AS is_seed FROM ns""")
+@query(f"""{_NEAR} SELECT pathway, node_id, round(CASE WHEN hi - lo > 0 THEN (score - lo) / (hi - lo) ELSE 1 END, 6) AS score_norm, round(z, 6) + 0.0 AS z_within, (pathway, node_id) IN (SELECT (pathway, gene) FROM sized) AS is_member,
+node_id IN (SELECT node_id FROM seeds) AS is_seed FROM best""")
 def a21_influential_nodes(g):
-    return _influential(g).select("pathway", "node_id", F.round("score_norm", 6).alias("score_norm"), "is_member", "is_seed")
+    g.hold_conditioned()
+    return _influential(g, 200).select("pathway", "node_id", F.round("score_norm", 6).alias("score_norm"), (F.round("z_within", 6) + F.lit(0.0)).alias("z_within"), "is_member", "is_seed")
 
 
-@query(f"{_NEAR} SELECT pathway, count(*) AS n, round(quantile_cont(score, 0.25) * 1e6, 5) AS p25, round(median(score) * 1e6, 5) AS p50, round(quantile_cont(score, 0.75) * 1e6, 5) AS p75, round(max(score) * 1e6, 5) AS max_score FROM nb GROUP BY 1")
+_A22 = """i22 AS (SELECT pathway, count(*) AS n, count(*) FILTER (round(z, 6) > 1.96) AS n_high, round(quantile_cont(score, 0.25) * 1e6, 5) AS p25, round(median(score) * 1e6, 5) AS p50, round(quantile_cont(score, 0.75) * 1e6, 5) AS p75, round(max(score) * 1e6, 5) AS max_score FROM ns GROUP BY 1),
+h22 AS (SELECT pathway, string_agg(node_id, ';' ORDER BY score DESC, node_id) AS high FROM best WHERE round(z, 6) > 1.96 GROUP BY 1)"""
+
+
+@query(f"{_NEAR}, {_A22} SELECT i22.*, coalesce(high, '') AS high FROM i22 LEFT JOIN h22 USING (pathway)")
 def a22_influence_summary(g):
-    return scoring.influence_summary(_influential(g)).select("pathway", "n", *(F.round(F.col(c) * 1e6, 5).alias(c) for c in ("p25", "p50", "p75", "max_score")))
+    g.hold_conditioned()
+    return _influence(g).select("pathway", "n", "n_high", *(F.round(F.col(c) * 1e6, 5).alias(c) for c in ("p25", "p50", "p75", "max_score")), "high")
 
 
-@query(f"""{_MEMBER_TABLE}, sm AS (SELECT pathway, count(*) AS n_seeds, string_agg(gene, ';' ORDER BY round(score * 1e9) DESC, gene) AS seed_members FROM mt WHERE gene IN (SELECT node_id FROM seeds) GROUP BY 1)
-SELECT p.pathway, coalesce(n_seeds, 0) AS n_seeds, coalesce(seed_members, '') AS seed_members FROM (SELECT DISTINCT pathway FROM sized) p LEFT JOIN sm ON p.pathway = sm.pathway""")
+def _influence(g: Graph) -> DataFrame:
+    near = stage(_influential(g, None), "near")
+    return scoring.influence_summary(near, scoring.best_neighbours(near, 200))
+
+
+@query(f"""{_SCORED.replace("ends AS (SELECT source AS pathway", "ends2 AS (SELECT source AS pathway").replace("FROM ends e", "FROM ends2 e")}, {_NEAR[_NEAR.index("ends AS"):]}, {_A22},
+mt AS (SELECT pathway, gene, score FROM sized JOIN cond ON gene = cond.node_id), sm AS (SELECT pathway, count(*) AS n_seeds, string_agg(gene, ';' ORDER BY round(score * 1e9) DESC, gene) AS seed_members FROM mt WHERE gene IN (SELECT node_id FROM seeds) GROUP BY 1)
+SELECT (row_number() OVER (ORDER BY round(degree_norm * 1e9) DESC, s.pathway))::INTEGER AS rank, s.pathway, round(degree_norm * 1e6, 3) AS degree_norm, coalesce(n_seeds, 0) AS n_seeds, coalesce(seed_members, '') AS seed_members,
+coalesce(n_high, 0) AS n_high, coalesce(high, '') AS high FROM scored s LEFT JOIN sm ON s.pathway = sm.pathway LEFT JOIN i22 ON s.pathway = i22.pathway LEFT JOIN h22 ON s.pathway = h22.pathway""")
 def a23_summary(g):
+    """Pathways by rank with their seed members and their influential neighbours."""
+    scored = _scored(g)[0]
     scores = nano(g.cond_scores)
-    members = g.sized
-    rows = scoring.member_scores(members, scores, scoring.gene_moments(scores, g.sabs, GENE_SABS))
-    return scoring.summary(members.select("pathway").distinct(), rows, g.seeds).select("pathway", "n_seeds", "seed_members")
+    rows = scoring.member_scores(g.sized, scores, scoring.gene_moments(scores, g.sabs, GENE_SABS))
+    out = scoring.summary(scored.select("pathway", "degree_norm", F.round(F.col("degree_norm") * 1e9, 0).alias("_by")), rows, g.seeds)
+    out = stats.ranked_by_range(out, [], [F.desc("_by"), F.asc("pathway")]).join(_influence(g).select("pathway", "n_high", "high"), "pathway", "left")
+    return out.select("rank", "pathway", micro("degree_norm"), "n_seeds", "seed_members", F.coalesce("n_high", F.lit(0)).cast("long").alias("n_high"), F.coalesce("high", F.lit("")).alias("high"))
 
 
 # --- nulls and resampling --------------------------------------------------------------------------------------------
@@ -1199,6 +1240,29 @@ def n10_bootstrap_metrics(g):
     return _set_metrics(g, resample.bootstrap(g.spark, len(pool), BOOT_SIZES, BOOTS), pool, False)
 
 
+_ROBUST = "count(*) AS n, count(*) FILTER (p_at_10 >= 0.5) AS p10_half, count(*) FILTER (p_at_10 >= 0.3) AS p10_third, count(*) FILTER (rank_improvement > 0) AS improved, sum(beats_fisher)::BIGINT AS beats_fisher, round(avg(ap), 6) AS mean_ap, round(stddev_samp(ap), 6) AS sd_ap"
+
+
+def _robustness() -> list:
+    number = lambda c: F.count(F.when(c, 1))
+    return [
+        F.count("*").alias("n"), number(F.col("p_at_10") >= 0.5).alias("p10_half"), number(F.col("p_at_10") >= 0.3).alias("p10_third"), number(F.col("rank_improvement") > 0).alias("improved"),
+        F.sum("beats_fisher").alias("beats_fisher"), F.round(F.avg("ap"), 6).alias("mean_ap"), F.round(F.stddev_samp("ap"), 6).alias("sd_ap"),
+    ]
+
+
+@query(f"SELECT {_ROBUST} FROM ({SQL['n9_split_metrics']})")
+def a24_robustness(g):
+    return n9_split_metrics(g).agg(*_robustness())
+
+
+@query(f"SELECT CASE WHEN split < 0 THEN -1 ELSE [{', '.join(map(str, BOOT_SIZES))}][split % {len(BOOT_SIZES)} + 1] END AS seed_size, {_ROBUST} FROM ({SQL['n10_bootstrap_metrics']}) GROUP BY 1")
+def a24_by_seed_size(g):
+    """Of bootstrap draws by their number of seeds; -1 is the run with all of them."""
+    size = F.when(F.col("split") < 0, -1).otherwise(F.get(F.array(*(F.lit(x) for x in BOOT_SIZES)), (F.col("split") % len(BOOT_SIZES)).cast("int")))
+    return n10_bootstrap_metrics(g).groupBy(size.alias("seed_size")).agg(*_robustness())
+
+
 @query(f"""WITH {GRAPH}, {_SIZED}, k AS (SELECT pathway, gene, row_number() OVER (PARTITION BY pathway ORDER BY md5('42|' || pathway || '|' || gene), gene) AS k, count(*) OVER (PARTITION BY pathway) AS n FROM sized)
 SELECT pathway, gene, CASE WHEN k <= ceil(round(n * 0.7, 6)) THEN 'seed' ELSE 'heldout' END AS role FROM k""")
 def n11_control_split(g):

@@ -43,9 +43,25 @@ def test_go_terms(spark, rules):
     ]
     df = spark.createDataFrame([c_[:2] for c_ in cases], "ns string, name string")
     assert [r[0] for r in df.select(c.go_entity(F.col("ns"), F.col("name"))).collect()] == [x[2] for x in cases]
-    nodes = spark.createDataFrame([(1, "GO:1", "Concept", "", "MSIGDB"), (2, "GO:2", "Concept", "", "MSIGDB")], NODES)
-    ontology = spark.createDataFrame([("GO:1", "complex")], "accession string, namespace string")
-    assert {r["node_id"]: r["entity"] for r in c.row_entities(nodes, rules, ontology).collect()} == {"GO:1": "CM", "GO:2": "PW"}
+    rows = [
+        (1, "GO:1", "Code", "x", "MSIGDB"), (2, "GO:2", "Code", "outer membrane", "GO"), (3, "GO:3", "Concept", "a complex", "MSIGDB"), (4, "q", "Concept", "protein complex", "GOCC"), (5, "GO:5", "Code", "x", "GO"),
+        (6, "GO:6", "Concept", None, "GO"),
+    ]
+    nodes = spark.createDataFrame(rows, NODES)
+    ontology = spark.createDataFrame([("GO:1", "complex"), ("GO:3", "cc")], "accession string, namespace string")
+    got = {r["node_id"]: r["entity"] for r in c.row_entities(nodes, rules, ontology).collect()}
+    assert got == {"GO:1": "CM", "GO:2": "S", "GO:3": "PW", "q": "CM", "GO:5": "PW", "GO:6": "PW"}
+
+
+def test_codes_type_their_parents(spark, rules):
+    rows = [(1, "HGNC:1", "Code", "", "HGNC", "C1"), (2, "MSIGDB:2", "code", "", "MSIGDB", "C1"), (3, "X:1", "Code", "", "ZZ", "C2"), (4, "C3", "Concept", "", "HGNC", None), (5, "HGNC:9", "Code", "", "HGNC", "")]
+    nodes = spark.createDataFrame(rows, NODES + ", parent_id string")
+    assert {r["node_id"]: r["entity"] for r in c.node_entities(nodes, rules).collect()} == {"C1": "PW", "C2": None}
+
+
+def test_ensembl_ids_without_a_known_prefix_go_by_the_rules(spark, rules):
+    nodes = spark.createDataFrame([(1, "ENSEMBL:ENSG1", "Code", "", "ENSEMBL"), (2, "Hx", "Code", "", "ENSEMBL"), (3, "ENSEMBL:X", "Code", "", "ENSEMBL")], NODES)
+    assert {r["node_id"]: r["entity"] for r in c.node_entities(nodes, rules).collect()} == {"ENSEMBL:ENSG1": "G", "Hx": "X", "ENSEMBL:X": None}
 
 
 def conditioned(spark, rules, edges):
@@ -112,29 +128,29 @@ def pagerank_by_hand(edges, seeds, alpha, steps, normalize):
     return {n: v / total for n, v in f.items() if v > 0}
 
 
-@pytest.mark.parametrize(("normalize", "limit"), [(True, 8 << 20), (False, 8 << 20), (True, 0)])
-def test_pagerank(spark, monkeypatch, normalize, limit):
-    monkeypatch.setattr(propagate, "BROADCAST_BYTES", limit)
+@pytest.mark.parametrize(("normalize", "rows"), [(True, 50_000), (False, 50_000), (True, 3)])
+def test_pagerank(spark, monkeypatch, normalize, rows):
+    monkeypatch.setattr(propagate, "PART_ROWS", rows)
     edges = [("a", "b"), ("a", "b"), ("a", "c"), ("b", "c"), ("c", "a"), ("c", "d"), ("e", "a")]
     e = spark.createDataFrame([(s, t, "x", None, None, None) for s, t in edges], EDGES)
     moves = c.row_normalized(c.unit_operator(e))
     graph = e.select(F.explode(F.array("source", "target")).alias("node_id"))
     seeds = spark.createDataFrame([("a",), ("a",), ("e",), ("absent",)], "node_id string")
     got = {r["node_id"]: r["score"] for r in propagate.pagerank(moves, seeds, graph, normalize=normalize).collect()}
-    assert got == pytest.approx(pagerank_by_hand(edges, ["a", "e"], 0.5, propagate.ITERATIONS, normalize), abs=1e-12)
+    assert got == pytest.approx(pagerank_by_hand(edges, ["a", "e"], 0.5, propagate.steps_for(0.5), normalize), abs=1e-12)
     if normalize:
         assert sum(got.values()) == pytest.approx(1)
 
 
-@pytest.mark.parametrize("limit", [0, 8 << 20])
-def test_pagerank_with_a_hub(spark, monkeypatch, limit):
-    monkeypatch.setattr(propagate, "BROADCAST_BYTES", limit)
+@pytest.mark.parametrize("rows", [40, 50_000])
+def test_pagerank_with_a_hub(spark, monkeypatch, rows):
+    monkeypatch.setattr(propagate, "PART_ROWS", rows)
     edges = [("hub", f"n{i}") for i in range(120)] + [(f"n{i}", "hub") for i in range(0, 120, 3)] + [("n1", "n2")]
     e = spark.createDataFrame([(s, t, "x", None, None, None) for s, t in edges], EDGES)
     moves = c.row_normalized(c.unit_operator(e))
     restarts = spark.createDataFrame([("hub", 1.0)], "node_id string, score double")
     got = {r["node_id"]: r["score"] for r in propagate.pagerank_vectors(moves, restarts, ["score"]).collect()}
-    assert got == pytest.approx(pagerank_by_hand(edges, ["hub"], 0.5, propagate.ITERATIONS, False), abs=1e-12)
+    assert got == pytest.approx(pagerank_by_hand(edges, ["hub"], 0.5, propagate.steps_for(0.5), False), abs=1e-12)
 
 
 def test_many_restarts_are_linear(spark):
@@ -146,13 +162,21 @@ def test_many_restarts_are_linear(spark):
         assert r["z"] == pytest.approx((r["x"] + r["y"]) / 2, abs=1e-14)
 
 
-def test_tolerance_ends_early(spark):
-    e = spark.createDataFrame([("a", "b", "x", None, None, None), ("b", "a", "x", None, None, None)], EDGES)
-    moves = c.row_normalized(c.unit_operator(e))
-    restarts = spark.createDataFrame([("a", 1.0)], "node_id string, score double")
-    exact = {r["node_id"]: r["score"] for r in propagate.pagerank_vectors(moves, restarts, ["score"], iterations=60).collect()}
-    early = {r["node_id"]: r["score"] for r in propagate.pagerank_vectors(moves, restarts, ["score"], iterations=60, tolerance=1e-6).collect()}
-    assert early == pytest.approx(exact, abs=1e-6)
+@pytest.mark.parametrize("alpha", [0.15, 0.5, 0.9])
+def test_the_tolerance_holds_after_its_steps(alpha):
+    """On a cycle and a chain that ends, changes of a step shrink by 1 - alpha at best."""
+    steps = propagate.steps_for(alpha, 1e-10)
+    for edges in ([("a", "b"), ("b", "a")], [("a", "b"), ("b", "c"), ("a", "c")]):
+        f, g = (pagerank_by_hand(edges, ["a"], alpha, k, False) for k in (steps, steps + 1))
+        assert sum(abs(g[n] - f.get(n, 0.0)) for n in g) < 1e-10
+    assert propagate.steps_for(0.5, 1e-10) == 35 and propagate.steps_for(1e-9) == 500
+
+
+def test_a_run_without_seeds_fails(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "node_id string")
+    propagate.require(ids("a", "b"), ids("b"), "seed")
+    with pytest.raises(ValueError, match="seed"):
+        propagate.require(ids("a"), ids("b"), "seed")
 
 
 def test_scalar_rules(spark):
@@ -162,5 +186,5 @@ def test_scalar_rules(spark):
     assert [r[0] for r in nums.select(safe_double(F.col("v"))).collect()] == [1.5, 2000.0, -0.5, None, None, None, None, None, None]
     ids = spark.createDataFrame([("ENSG1",), ("xENSG1",), (None,)], "v string")
     assert [r[0] for r in ids.select(by_rules(F.col("v"), [("ENSG", "G"), ("E", "Y")])).collect()] == ["G", None, None]
-    w = spark.createDataFrame([("0.2", "9", "curated"), ("", "3", "curated"), (None, None, "EXPERIMENTAL"), (None, None, "odd"), (None, None, None)], "c string, v string, e string")
-    assert [r[0] for r in w.select(edge_weight(F.col("c"), F.col("v"), F.col("e"))).collect()] == [0.2, 3.0, 1.0, 0.5, 0.5]
+    w = spark.createDataFrame([("0.2", "9", "curated"), ("", "3", "curated"), (None, None, "EXPERIMENTAL"), (None, None, "odd"), (None, None, None), ("bad", "9", "curated"), (" ", "9", None)], "c string, v string, e string")
+    assert [r[0] for r in w.select(edge_weight(F.col("c"), F.col("v"), F.col("e"))).collect()] == [0.2, 3.0, 1.0, 0.5, 0.5, 0.75, 9.0]

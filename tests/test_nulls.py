@@ -77,21 +77,21 @@ def test_member_mean_null_is_the_mean_of_windows(spark, monkeypatch):
     h = lambda *x: int(hashlib.md5("|".join(map(str, (42, *x))).encode()).hexdigest()[:15], 16)
     rnd = random.Random(8)
     stratum = {f"g{i}": f"d{rnd.randrange(3)}_m0" for i in range(30)}
-    score = {g: rnd.random() for g in stratum if g != "g7"}  # g7 is off the graph
-    member = [(f"w{w}", g) for w in range(4) for g in rnd.sample(sorted(stratum), 5 + w)]
-    rings = defaultdict(list)
-    for g in sorted(stratum, key=lambda g: (h(g), g)):
-        rings[stratum[g]].append(score.get(g, 0.0))
+    score = {g: rnd.random() for g in stratum if g != "g7"}  # g7 is off the graph: neither a member nor drawn
+    member = [(f"w{w}", g) for w in range(4) for g in rnd.sample(sorted(stratum), 5 + w)] + [("off", "g7")]
     want = {}
     for p in range(5):
+        rings = defaultdict(list)
+        for g in sorted(score, key=lambda g: (h(p, g), g)):
+            rings[stratum[g]].append(score[g])
         for w in range(4):
             taken = []
             for s, ring in rings.items():
-                m = sum(1 for x, g in member if x == f"w{w}" and stratum[g] == s)
+                m = sum(1 for x, g in member if x == f"w{w}" and g in score and stratum[g] == s)
                 taken += [ring[(h(p, f"w{w}", s) + k) % len(ring)] for k in range(m)]
             want[p, f"w{w}"] = sum(taken) / len(taken)
     tables = [spark.createDataFrame(member, "pathway string, gene string"), spark.createDataFrame(list(stratum.items()), "gene string, stratum string"), spark.createDataFrame(list(score.items()), "node_id string, score double")]
     assert values(nulls.member_mean_null(*tables, 5)) == pytest.approx(want, abs=1e-12)
-    monkeypatch.setattr(nulls, "BROADCAST_BYTES", 0)
-    monkeypatch.setattr(nulls, "BATCH", 2)
+    monkeypatch.setattr(many, "GRAPH_EDGES", 0)
+    monkeypatch.setattr(nulls, "BATCH", 3)
     assert values(nulls.member_mean_null(*tables, 5)) == pytest.approx(want, abs=1e-12)

@@ -2,6 +2,7 @@ import math
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -151,11 +152,55 @@ def test_member_mean_null_draws_within_strata(spark):
 
 
 def test_splits_and_bootstrap(spark):
-    rows = resample.splits(spark, 6, 4).collect()
-    assert sorted(tuple(r["seeds"]) for r in rows) == sorted(combinations(range(6), 4))
-    boots = resample.bootstrap(spark, 15, [3, 5], 20).collect()
-    assert len(boots) == 40 and all(len(set(r["seeds"])) == r["seed_size"] for r in boots)
-    assert boots == resample.bootstrap(spark, 15, [3, 5], 20).collect()
+    assert sorted(tuple(p) for _, p in resample.splits(6, 4)) == sorted(combinations(range(6), 4))
+    assert all(bin(s).count("1") == 4 and all(s >> i & 1 for i in p) for s, p in resample.splits(6, 4))
+    boots = resample.bootstrap(spark, 15, [3, 5, 99], 20)
+    assert len(boots) == 41 and boots[0] == (-1, list(range(15))) and all(len(set(p)) == [3, 5][s % 2] for s, p in boots[1:])
+    assert boots == resample.bootstrap(spark, 15, [3, 5, 99], 20)
+
+
+def test_tails_of_all_overlaps():
+    for n, d in ((20, 6), (60, 10), (9, 9)):
+        table = resample.tails(np.arange(0, n + 1), n, d)
+        for m in range(n + 1):
+            want = [sum(math.comb(m, i) * math.comb(n - m, d - i) for i in range(k, min(m, d) + 1) if d - i <= n - m) / math.comb(n, d) for k in range(d + 1)]
+            assert table[m] == pytest.approx(want, abs=1e-10)
+
+
+def test_ranks_by_counting_equal_sorted_lists(spark):
+    rnd = random.Random(11)
+    items = [(f"w{i:03d}", [float(rnd.choice([0, 0, 1, rnd.random()])) for _ in range(5)], float(rnd.randrange(1, 9))) for i in range(200)]
+    sets = resample.splits(5, 3)
+    asked = ["w003", "w150", "w199", "absent"]
+    df = spark.createDataFrame(items, "key string, by_seed array<double>, size double").repartition(3)
+    got = {(r["split"], r["key"]): r["n"] for r in resample.ahead(df, sets, 5, asked, resample.mean_score).collect()}
+    for split, positions in sets:
+        value = {k: round(sum(x[i] for i in positions) / 3 / math.sqrt(s) * 1e9) for k, x, s in items}
+        ranked = sorted(value, key=lambda k: (-value[k], k))
+        assert all(got[split, k] == ranked.index(k) for k in asked[:3])
+    held = {r["split"]: r["gene_auprc"] for r in resample.held_out_precision(df.withColumn("size", F.lit(1.0)), sets, ["w000", "w001", "w002", "w003", "w004"]).collect()}
+    pool = [f"w{i:03d}" for i in range(5)]
+    for split, positions in sets:
+        value = {k: round(sum(x[i] for i in positions) / 3 * 1e9) for k, x, _ in items}
+        out = [p for i, p in enumerate(pool) if i not in positions]
+        order = sorted((k for k in value if k not in pool or k in out), key=lambda k: (-value[k], k not in out))
+        hits = [order.index(p) + 1 for p in out]
+        assert held[split] == pytest.approx(sum(j / r for j, r in enumerate(sorted(hits), 1)) / len(hits))
+
+
+def test_draws_that_a_cutoff_leaves_short_are_drawn_again(spark, monkeypatch):
+    universe = spark.range(3000).selectExpr("cast(id as string) node_id")
+    want = nulls.draws(universe, 12, 5).orderBy("perm", "node_id").collect()
+    real = nulls.seeded_hash
+    monkeypatch.setattr(nulls, "seeded_hash", lambda *a: F.when(F.col("perm") == 2, real(*a) % (1 << 30) + (1 << 59)).otherwise(real(*a)))
+    got = nulls.draws(universe, 12, 5).orderBy("perm", "node_id").collect()
+    assert [r for r in got if r["perm"] != 2] == [r for r in want if r["perm"] != 2] and sum(r["perm"] == 2 for r in got) == 12
+
+
+def test_best_neighbours_of_a_hub(spark):
+    rows = [("hub", f"n{i:04d}", float(i % 50)) for i in range(2000)] + [("w", "n1", 1.0)]
+    got = scoring.best_neighbours(spark.createDataFrame(rows, "pathway string, node_id string, score double"), 7).collect()
+    assert {(r["pathway"], r["node_id"]) for r in got} == {("hub", k) for _, k in sorted((-s, n) for p, n, s in rows if p == "hub")[:7]} | {("w", "n1")}
 
 
 def test_pathway_scores_edge_cases(spark):

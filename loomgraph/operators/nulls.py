@@ -112,10 +112,10 @@ def bridges(kept_edges: DataFrame, flow: str = "Pathway Contribution") -> tuple[
     return moving.filter(is_bridge), moving.filter(~is_bridge)
 
 
-def rewire(edges: DataFrame, rounds: int = 10, seed: int = 42) -> DataFrame:
+def rewire(edges: DataFrame, rounds: int = 20, seed: int = 42) -> DataFrame:
     """(source, target) with targets exchanged between random pairs of edges: in- and out-degrees stay as they are.
 
-    Each round pairs edges by seeded hashes within buckets of bounded size. A pair is exchanged if neither new edge is a
+    Each round pairs all edges by seeded hashes within buckets of bounded size, so twenty rounds try ten exchanges an edge. A pair is exchanged if neither new edge is a
     loop, is there already, or is proposed by another pair; else it stays. Parallel edges are merged first.
     """
     now = stage(numbered(edges.select("source", "target").distinct(), "e", "edges"), "edges")
@@ -135,7 +135,7 @@ def rewire(edges: DataFrame, rounds: int = 10, seed: int = 42) -> DataFrame:
     return now.select("source", "target")
 
 
-def rewiring_null(kept_edges: DataFrame, restarts: DataFrame, pathways: DataFrame, permutations: int, alpha: float, iterations: int, rounds: int = 10, seed: int = 42) -> DataFrame:
+def rewiring_null(kept_edges: DataFrame, restarts: DataFrame, pathways: DataFrame, permutations: int, alpha: float, iterations: int, rounds: int = 20, seed: int = 42) -> DataFrame:
     """(perm, pathway, null): degree-normalised scores after the edges into pathways were rewired. Every permutation has its
     own operator, so each is a propagation of its own: in tasks if the graph fits them (``many``; exchanges by the same rule,
     other random numbers), else one after another, written."""

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from loomgraph.functions import scalars, stats
 from loomgraph.functions.ids import WHITE, plain_id, plain_id_sql, term, term_sql
 from loomgraph.operators import conditioning, enrich, membership, nulls, patterns, propagate, resample, scoring
-from loomgraph.plans import graph
+from loomgraph.plans import graph, problems
 from loomgraph.plans.graph import CONDITIONED, EXPORT_PRIORITY, GENE_SABS, GRAPH, MEMBER_FORWARD, MEMBER_REVERSE, MEMBERS, PATHWAY_SABS, SAB_PRIORITY, TYPING, pagerank_sql, transitions_sql
-from loomgraph.session import broadcast_if_small, stage, table
+from loomgraph.session import broadcast_if_small, stage, staged_path, table
+from loomgraph.sources import files
 
 ALPHA, STEPS = propagate.ALPHA, propagate.steps_for(propagate.ALPHA)
 LEAST_MEMBERS, MOST_MEMBERS = 4, 300
@@ -170,6 +171,23 @@ def s7_shell_messages(g):
     return g.table("raw_export_lines").groupBy("layout").agg(F.count("*").alias("n_lines"), F.count(F.when(row, 1)).alias("n_rows"))
 
 
+@query(f"SELECT 'nodes' AS layout, count(*) AS n FROM ({problems.P5_NODES}) UNION ALL SELECT 'edges', count(*) FROM ({problems.P5_EDGES})")
+def s7_clean_export(g):
+    lines = g.table("raw_export_lines")
+    nodes, edges = (files.clean_export(lines, layout).agg(F.count("*").alias("n")).withColumn("layout", F.lit(layout)) for layout in ("nodes", "edges"))
+    return nodes.unionByName(edges)
+
+
+@query("""SELECT source, target, predicate, coalesce(sab, '') AS sab, coalesce(confidence, '') AS confidence, count(*) AS n FROM (
+ SELECT coalesce(source, '') AS source, coalesce(target, '') AS target, coalesce(predicate, '') AS predicate, sab, confidence FROM edges) GROUP BY ALL""")
+def s9_gzip_files(g):
+    """Edges written as gzip CSV files and read again as text."""
+    columns = ["source", "target", "predicate", "sab", "confidence"]
+    path = staged_path(g.spark, "edges-csv")
+    files.write_text_table(g.table("edges").select(columns), path, gzip=True)
+    return files.read_text_table(g.spark, path, ",", True).groupBy(*columns).agg(F.count("*").alias("n"))
+
+
 @query(f"""WITH {GRAPH} SELECT tbl, predicate, count(*) AS n FROM g_edges GROUP BY 1, 2""")
 def s8_merge_edges(g):
     return g.edges.groupBy("tbl", "predicate").agg(F.count("*").alias("n"))

@@ -69,13 +69,19 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the staged tables."""
+    path = os.path.join(shared_dir(spark), JOB_FOLDER, f"{name}-{uuid.uuid4().hex}")
+    _STAGED.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
+
+
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as a table in the shared folder and return that table: later jobs neither recompute it nor
     lose it with an executor. Columnar and compressed, so smaller than a checkpoint of the same rows."""
     spark = df.sparkSession
-    path = os.path.join(shared_dir(spark), JOB_FOLDER, f"{name}-{uuid.uuid4().hex}")
+    path = staged_path(spark, name)
     df.write.parquet(path)
-    _STAGED.setdefault(spark.sparkContext.applicationId, set()).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

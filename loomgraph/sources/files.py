@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from loomgraph.operators.rejects import parse_lines
 
 
-def read_text_table(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """A CSV or TSV file (also gzip) with all columns as text, null as '', and no byte order mark in a column name."""
+def read_text_table(spark: SparkSession, path: str, sep: str | None = None, multiline: bool = False) -> DataFrame:
+    """CSV or TSV files (also gzip) with all columns as text, null as '', and no byte order mark in a column name.
+
+    A plain file is split among tasks; with ``multiline``, for files whose quoted fields hold line ends, each is one task's.
+    """
     sep = sep or ("\t" if ".tsv" in path or path.endswith(".txt") else ",")
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, inferSchema=False)
+    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=multiline, inferSchema=False)
     df = df.toDF(*(c.lstrip(chr(0xFEFF)).strip() for c in df.columns))
     return df.fillna("")
 
@@ -50,7 +53,8 @@ def read_node_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_ontology(spark: SparkSession, path: str) -> DataFrame:
     """(accession, namespace) of OBO stanzas; a cellular component whose name has 'complex' is a ``complex``."""
-    stanza = spark.read.text(path, lineSep="\n\n").filter(F.col("value").contains("[Term]"))
+    # stanzas begin with a line [Term]; line ends of either kind
+    stanza = spark.read.text(path, lineSep="[Term]").withColumn("value", F.regexp_replace(F.regexp_replace("value", r"\r\n?", "\n"), r"(?s)\n\[\w+\].*", ""))
     field = lambda k: F.regexp_extract("value", rf"(?m)^{k}: (.*?)\s*$", 1)
     short = F.create_map(*(F.lit(x) for kv in {"biological_process": "bp", "molecular_function": "mf", "cellular_component": "cc"}.items() for x in kv))
     space = F.try_element_at(short, field("namespace"))
@@ -73,6 +77,12 @@ def merged(*tables: DataFrame, aliases: dict[str, str] | None = None) -> DataFra
     return out
 
 
+def write_text_table(df: DataFrame, path: str, sep: str = ",", gzip: bool = False) -> None:
+    """All rows as delimited files of quoted fields with a header, one a task; ``read_text_table`` gives the same texts back."""
+    out = df.write.option("quoteAll", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    out.option("compression", "gzip" if gzip else "none").csv(path, header=True, sep=sep, nullValue="", emptyValue="")
+
+
 def write_report(df: DataFrame, path: str, order: list[Column] | None = None, sep: str = "\t") -> None:
     """One delimited file of a report; larger results go to ``df.write.parquet``."""
     rows = df.orderBy(*order) if order else df

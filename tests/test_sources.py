@@ -75,3 +75,32 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(r["n"] for r in spark.sql("SELECT * FROM arrivals").collect()) == 3
+
+
+def test_ontology_with_windows_line_ends(spark, tmp_path):
+    text = "format-version: 1.2\n\n[Term]\nid: GO:1\nname: a complex\nnamespace: cellular_component\n\n[Term]\nid: GO:2\nname: x\nnamespace: molecular_function\n\n[Typedef]\nid: part_of\nnamespace: external\n"
+    for i, end in enumerate(("\n", "\r\n")):
+        path = tmp_path / f"{i}.obo"
+        path.write_bytes(text.replace("\n", end).encode())
+        assert {(r["accession"], r["namespace"]) for r in files.read_ontology(spark, str(path)).collect()} == {("GO:1", "complex"), ("GO:2", "mf")}
+
+
+def test_text_tables_survive_writing(spark, tmp_path):
+    rows = [(' a, "b" ', "line\nend", "é\t"), ("", None, "\\"), ("#x", " ", "'")]
+    df = spark.createDataFrame(rows, "x string, y string, z string")
+    for gzip in (False, True):
+        files.write_text_table(df, str(tmp_path / str(gzip)), gzip=gzip)
+        got = files.read_text_table(spark, str(tmp_path / str(gzip)), ",", multiline=True)
+        assert sorted(map(tuple, got.collect())) == sorted(tuple(v or "" for v in r) for r in rows)
+
+
+def test_staged_tables_are_deleted_with_their_block(spark):
+    import os
+
+    from loomgraph import session
+
+    with session.stages(spark):
+        inner = session.stage(spark.range(3).toDF("a"), "inner")
+        path = inner.inputFiles()[0].removeprefix("file://")
+        assert inner.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)

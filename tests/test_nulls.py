@@ -95,3 +95,24 @@ def test_member_mean_null_is_the_mean_of_windows(spark, monkeypatch):
     monkeypatch.setattr(many, "GRAPH_EDGES", 0)
     monkeypatch.setattr(nulls, "BATCH", 3)
     assert values(nulls.member_mean_null(*tables, 5)) == pytest.approx(want, abs=1e-12)
+
+
+def test_blocks_of_vectors_equal_single_ones():
+    rng = np.random.default_rng(1)
+    source, target = rng.integers(0, 200, 2000), np.where(rng.random(2000) < 0.4, 7, rng.integers(50, 300, 2000))  # 7 is a hub; sources, sinks and nodes between
+    share = rng.random(2000)
+    share /= np.bincount(source, share, 300)[source]
+    start = np.zeros((320, 3))  # the last are off the graph
+    start[rng.integers(0, 320, 30), rng.integers(0, 3, 30)] = 0.1
+    graph = many.Propagation(source, target, share, 320, 0.5)
+    for steps in (1, 2, 3, 4, 35):
+        want = np.stack([many.propagated(source, target, share, start[:, i], 0.5, steps) for i in range(3)], 1)
+        assert np.allclose(graph.run(start.copy(), steps), want, rtol=0, atol=1e-15)
+
+
+def test_tasks_return_pathways_by_name_without_a_join(spark, graph):
+    kept, pathways = graph
+    moves = nulls.row_normalized(nulls.unit_operator(kept))
+    drawn = nulls.draws(spark.createDataFrame([(f"g{i}",) for i in range(40)], "node_id string"), 5, 4)
+    plan = nulls.seed_permutation_null(moves, drawn, 5, pathways, 4, 0.5, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan

@@ -2,7 +2,7 @@
 
 import os
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -97,17 +97,40 @@ def test_member_mean_null_is_the_mean_of_windows(spark, monkeypatch):
     assert values(nulls.member_mean_null(*tables, 5)) == pytest.approx(want, abs=1e-12)
 
 
-def test_blocks_of_vectors_equal_single_ones():
+def test_propagation_in_parts_is_that_of_all_steps_on_all_transitions():
     rng = np.random.default_rng(1)
     source, target = rng.integers(0, 200, 2000), np.where(rng.random(2000) < 0.4, 7, rng.integers(50, 300, 2000))  # 7 is a hub; sources, sinks and nodes between
     share = rng.random(2000)
     share /= np.bincount(source, share, 300)[source]
     start = np.zeros((320, 3))  # the last are off the graph
     start[rng.integers(0, 320, 30), rng.integers(0, 3, 30)] = 0.1
-    graph = many.Propagation(source, target, share, 320, 0.5)
+    asked = np.arange(5, 320, 7)
+    graph = many.Propagation(source, target, share, 320, asked, 0.5)
     for steps in (1, 2, 3, 4, 35):
-        want = np.stack([many.propagated(source, target, share, start[:, i], 0.5, steps) for i in range(3)], 1)
-        assert np.allclose(graph.run(start.copy(), steps), want, rtol=0, atol=1e-15)
+        x = start
+        for _ in range(steps):
+            x = 0.5 * np.stack([np.bincount(target, share * x[source, i], 320) for i in range(3)], 1) + 0.5 * start
+        want = x / x.sum(0)
+        assert np.allclose(graph.run(start.copy(), steps), want[asked], rtol=0, atol=1e-15)
+        assert np.allclose(many.propagated(source, target, share, start[:, 1], 0.5, steps), want[:, 1], rtol=0, atol=1e-15)
+    assert not graph.run(np.zeros((320, 2)), 5).any()
+
+
+def test_exchanges_are_those_of_the_plain_rule():
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 60, 601) * 70 + rng.integers(0, 70, 601))
+    s, t = codes // 70, codes % 70
+    want, draw = t.copy(), np.random.default_rng(9)
+    for _ in range(8):
+        order, half = draw.permutation(len(s)), len(s) // 2
+        pairs = list(zip(order[:half], order[half : 2 * half]))
+        made = [(s[i], want[j]) for i, j in pairs] + [(s[j], want[i]) for i, j in pairs]
+        times, there = Counter(made), set(zip(s, want))
+        ok = [not (a == b or (a, b) in there or times[a, b] > 1) for a, b in made]
+        for k, (i, j) in enumerate(pairs):
+            if ok[k] and ok[half + k]:
+                want[i], want[j] = want[j], want[i]
+    assert many.exchanged(s, t, 70, 8, np.random.default_rng(9)).tolist() == want.tolist()
 
 
 def test_tasks_return_pathways_by_name_without_a_join(spark, graph):

@@ -139,3 +139,17 @@ def test_tasks_return_pathways_by_name_without_a_join(spark, graph):
     drawn = nulls.draws(spark.createDataFrame([(f"g{i}",) for i in range(40)], "node_id string"), 5, 4)
     plan = nulls.seed_permutation_null(moves, drawn, 5, pathways, 4, 0.5, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_significance_propagates_over_the_conditioned_edges_only(spark, monkeypatch):
+    """The result has nothing of the scores on all edges, so the driver plans no such steps."""
+    g = reference.Graph(spark, DATA)
+    observed = reference.scoring.tested_scores(g.sized, g.cond_scores).collect()
+    want = {r["pathway"]: r for r in reference.scoring.pathway_scores(g.sized.select("pathway").distinct(), g.sized, g.cond_scores, g.cond_scores, g.kept).collect()}
+    assert len(observed) == len(want) > 0
+    for r in observed:
+        assert (r["degree_norm"], r["member_mean"]) == pytest.approx((want[r["pathway"]]["degree_norm"], want[r["pathway"]]["member_mean"]), abs=1e-15)
+    monkeypatch.setattr(reference.Graph, "raw_scores", property(lambda self: pytest.fail("propagation over all edges")))
+    monkeypatch.setattr(reference, "PERMUTATIONS", 3)
+    assert reference.ON_GRAPH["n12_significance"](g) is not None
